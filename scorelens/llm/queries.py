@@ -77,7 +77,7 @@ ORACLE_SQL = {
             FROM (SELECT z.*, d.rest, u * (1 - f) / (u * (1 - f) + f * (1 - u)) AS rank
                   FROM sized z JOIN drawing d ON z.source IS NOT DISTINCT FROM d.source WHERE f > 0 AND size > 0)),
         beyond AS (SELECT * FROM ranked WHERE upto > rest),
-        gap0 AS (SELECT source, min(rest - (upto - size)) AS gap FROM beyond GROUP BY source),
+        gap0 AS (SELECT source, max(rest - (upto - size)) AS gap FROM beyond GROUP BY source),
         pick1 AS (SELECT b.source, first(struct_pack(size := size, doc_id := doc_id) ORDER BY size DESC, rank, doc_id) AS p
                   FROM beyond b JOIN gap0 g ON b.source IS NOT DISTINCT FROM g.source WHERE size <= gap GROUP BY b.source),
         gap1 AS (SELECT g.source, gap - coalesce(p.size, 0) AS gap FROM gap0 g LEFT JOIN pick1 k ON g.source IS NOT DISTINCT FROM k.source),
