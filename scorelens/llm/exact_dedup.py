@@ -37,7 +37,8 @@ def frequent(digests: DataFrame, heavy: int, tracked: int) -> DataFrame:
     part = digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(xxhash64(digest), {tracked})").alias("state")
     )
-    top = part.agg(F.expr(f"approx_top_k_combine(state, {tracked})").alias("state"))
+    # Grouped, though all fall in one group: an ungrouped combination fails on tasks without rows.
+    top = part.groupBy((F.col("part") < SKETCHES).alias("all")).agg(F.expr(f"approx_top_k_combine(state, {tracked})").alias("state"))
     items = top.select(F.explode(F.expr(f"approx_top_k_estimate(state, {heavy})")).alias("x"))
     return items.where("x.count > 1").select(F.col("x.item").alias("item"))
 
