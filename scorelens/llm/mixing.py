@@ -10,9 +10,9 @@ remains, so a source misses its target by less than its shortest document not ta
 The order is found without sorting a source in one task: the rank is cut into 1,024 bins, the
 bin that crosses the target into 1,024 again, and only the rows of that one are sorted.
 
-Defined cases: null text has size 0; documents of size 0 take 0; null is the last source; a row
-repeated is two rows; random numbers come from md5 of the id and the seed (null: of the text
-'null'), so reruns agree.
+Defined cases: null text has size 0; documents of size 0 take 0; null is the last source; rows
+that repeat id and text are taken or left together; random numbers come from md5 of the id and
+the seed (null: of the text 'null'), so reruns agree.
 """
 
 from __future__ import annotations
@@ -51,33 +51,43 @@ def targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
     return first.select("source", "source_size", F.when(F.col("k") >= F.col("at"), shared).otherwise(F.col("limit")).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken."""
+def _sized(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` with what the decision on a row needs, in columns of a struct ``m_``."""
     hashed = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10)
-    rows = cut(
-        docs.select(
+    return docs.withColumn(
+        "m_",
+        F.struct(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
             ((hashed.cast("long") + F.lit(0.5)) / F.lit(float(2**52))).alias("u"),
-            F.monotonically_increasing_id().alias("rid"),
-        )
+            F.xxhash64(text_col).alias("check"),
+        ),
     )
+
+
+def _with_source(left: DataFrame, right: DataFrame, *columns, how: str = "inner", source: str = "source") -> DataFrame:
+    """``left`` with columns of its source's row; null is a source like any other."""
+    return left.alias("a").join(small(right).alias("b"), F.col(f"a.{source}").eqNullSafe(F.col("b.source")), how).select("a.*", *columns)
+
+
+def _rank():
+    f, u = F.col("f"), F.col("u")
+    return u * (1 - f) / (u * (1 - f) + f * (1 - u))
+
+
+def _decisions(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """By source: source_size, target, copies, f, the first key that is not drawn, and the keys
+    drawn beyond it.  A key is (rank, doc_id, check)."""
     total = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     s, t = F.col("source_size"), F.col("target")
     copies = F.when(s > 0, F.least(F.lit(most), F.floor(t / s))).otherwise(0).cast("long")
     total = total.withColumn("copies", copies).withColumn("rest", F.greatest(F.lit(0.0), t - F.col("copies") * s))
     total = cut(total.withColumn("f", F.when(s > 0, F.col("rest") / s).otherwise(0.0)))
 
-    def with_source(left: DataFrame, right: DataFrame, *columns, how: str = "inner") -> DataFrame:
-        """``left`` with columns of its source's row; null is a source like any other."""
-        return left.alias("a").join(small(right).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), how).select("a.*", *columns)
-
-    f, u = F.col("f"), F.col("u")
-    drawn = with_source(rows.where("size > 0"), total, "f", "rest").where(f > 0)
-    drawn = drawn.withColumn("rank", u * (1 - f) / (u * (1 - f) + f * (1 - u)))
+    drawn = _with_source(rows.where("size > 0"), total, "f", "rest").where("f > 0").withColumn("rank", _rank())
     drawn = drawn.withColumns({"bin": F.floor(F.col("rank") * BINS), "fine": F.floor(F.col("rank") * (BINS * BINS)) % BINS})
-    drawn = drawn.withColumn("key", F.struct("rank", "doc_id", "rid")).withColumn("base", F.lit(0).cast("long"))
+    drawn = drawn.withColumn("key", F.struct("rank", "doc_id", "check")).withColumn("base", F.lit(0).cast("long"))
 
     def crossing(table: DataFrame, bin_: str) -> DataFrame:
         """For each source the first bin whose words, with those before, exceed the rest."""
@@ -88,21 +98,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
 
     inside = drawn
     for bin_ in ("bin", "fine"):
-        inside = with_source(inside, crossing(inside, bin_), "b.at", "b.before").where(F.col(bin_) == F.col("at")).withColumn("base", F.col("before")).drop("at", "before")
-    upto = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, 0))
+        inside = _with_source(inside, crossing(inside, bin_), "b.at", "b.before").where(F.col(bin_) == F.col("at")).withColumn("base", F.col("before")).drop("at", "before")
+    upto = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "check").rowsBetween(Window.unboundedPreceding, 0))
     beyond = inside.withColumn("upto", upto).where("upto > rest").groupBy("source")
-    state = cut(beyond.agg(F.min(F.struct("key", (F.col("rest") - F.col("upto") + F.col("size")).alias("gap"))).alias("x")).select("source", "x.*", F.array().cast("array<bigint>").alias("more")))
+    state = cut(beyond.agg(F.min(F.struct("key", (F.col("rest") - F.col("upto") + F.col("size")).alias("gap"))).alias("x")).select("source", "x.*", F.array_remove(F.array("x.key"), F.col("x.key")).alias("more")))
     for _ in range(FILLS):
-        fit = with_source(drawn, state, F.col("b.key").alias("from"), "gap", "more").where("key >= from and size <= gap and not array_contains(more, rid)")
+        fit = _with_source(drawn, state, F.col("b.key").alias("from"), "gap", "more").where("key >= from and size <= gap and not array_contains(more, key)")
         best = fit.groupBy("source").agg(F.min(F.struct((-F.col("size")).alias("less"), "key")).alias("x"))
         state = cut(
-            with_source(state, best, "x", how="left").select(
-                "source", "key", (F.col("gap") + F.coalesce("x.less", F.lit(0))).alias("gap"), F.when(F.col("x").isNull(), F.col("more")).otherwise(F.concat("more", F.array("x.key.rid"))).alias("more")
+            _with_source(state, best, "x", how="left").select(
+                "source", "key", (F.col("gap") + F.coalesce("x.less", F.lit(0))).alias("gap"), F.when(F.col("x").isNull(), F.col("more")).otherwise(F.concat("more", F.array("x.key"))).alias("more")
             )
         )
-    per_source = cut(with_source(total, state, "key", "more", how="left"))
-    out = with_source(rows, per_source, "source_size", "target", "copies", "f", F.col("b.key").alias("from"), "more")
-    key = F.struct((u * (1 - f) / (u * (1 - f) + f * (1 - u))).alias("rank"), "doc_id", "rid")
-    once = (f > 0) & (F.col("from").isNull() | (key < F.col("from")) | F.array_contains("more", F.col("rid")))
-    taken = F.col("size") * (F.col("copies") + F.coalesce(once, F.lit(False)).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), (F.when(F.col("size") > 0, taken / F.col("size")).otherwise(0)).cast("int").alias("copies"))
+    return cut(_with_source(total, state, "key", "more", how="left"))
+
+
+def _decided(docs: DataFrame, per_source: DataFrame) -> DataFrame:
+    """Adds source_size, target, copies (0 for size 0) to columns m_ and those of ``docs``; no
+    row moves, as the table of sources is broadcast."""
+    got = _with_source(docs.withColumn("source_", F.col("m_.source")), per_source, "source_size", "target", F.col("b.copies").alias("whole"), "f", F.col("b.key").alias("from"), "more", source="source_")
+    got = got.withColumn("u", F.col("m_.u"))
+    key = F.struct(_rank().alias("rank"), F.col("m_.doc_id").alias("doc_id"), F.col("m_.check").alias("check"))
+    once = (F.col("f") > 0) & (F.col("from").isNull() | (key < F.col("from")) | F.array_contains("more", key))
+    return got.withColumn("copies_", F.when(F.col("m_.size") > 0, F.col("whole") + F.coalesce(once, F.lit(False)).cast("long")).otherwise(0).cast("int"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies."""
+    rows = cut(_sized(docs, seed, id_col, text_col, source_col).select("m_"))
+    out = _decided(rows, _decisions(rows.select("m_.*"), weights, most))
+    return out.select("m_.doc_id", "m_.size", "source_size", "target", (F.col("m_.size") * F.col("copies_")).alias("taken"), F.col("copies_").alias("copies"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` itself with each row as often as the mix takes it.  Texts are not shuffled."""
+    sized = _sized(docs, seed, id_col, text_col, source_col)
+    per_source = _decisions(cut(sized.select("m_.*")), weights, most)
+    out = _decided(sized, per_source).where("copies_ > 0").withColumn("nth_", F.explode(F.sequence(F.lit(1), F.col("copies_"))))
+    return out.select(*docs.columns)
