@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, simhash, topk_search, toxicity
+from . import exact_dedup, licenses, lm_scoring, mixing, packing, pii, quality, simhash, topk_search, toxicity
 from .common import read
 
 
@@ -49,6 +49,20 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(topk_search.scaled(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what ``labels`` calls good."""
+    docs = read(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.fit(docs, read(spark, sf_dir, "labels").where("quality = 1")))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -57,6 +71,9 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality": op6_quality,
     "op7_exact_top_k": op7_exact_top_k,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_license_scan": op9_license_scan,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL = {
@@ -123,4 +140,5 @@ ORACLE_SQL = {
         FROM pairs
         QUALIFY rank <= 20
     """,
+    "op9_license_scan": licenses.oracle_sql(),
 }
