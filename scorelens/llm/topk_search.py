@@ -121,11 +121,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHARD,
     padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), dims - F.size("v")))
     rows = vectors.select("vec_id", padded.alias("v"))
     x = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    q = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    q = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
 
     def within(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        query_ids, ids = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
-        i, found, score = search(_matrix(left["v"], dims), ids, _matrix(right["v"], dims), query_ids, right["floor"].to_numpy(), k) if len(ids) and len(query_ids) else ([], [], [])
+        query_ids, ids = right["query_id"].to_numpy(), left["vec_id"].to_numpy()
+        i, found, score = search(_matrix(left["v"], dims), ids, _matrix(right["q"], dims), query_ids, right["floor"].to_numpy(), k) if len(ids) and len(query_ids) else ([], [], [])
         return pa.table({"query_id": pa.array(query_ids[i] if len(i) else [], pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.int64())})
 
     def over(which: list[int], queries: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHARD,
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = cut(over([0], q.withColumn("floor", F.lit(float("-inf")))))
     if shards > 1:
-        kth = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor"))
-        known = q.join(kth, q["vec_id"] == kth["query_id"], "left").select("vec_id", "v", "block", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+        kth = found.groupBy(F.col("query_id").alias("k_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor"))
+        known = q.join(kth, F.col("query_id") == F.col("k_id"), "left").select("query_id", "q", "block", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
         found = found.unionByName(over(list(range(1, shards)), known))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
