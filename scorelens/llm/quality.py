@@ -1,9 +1,10 @@
 """Quality by compression.
 
-Two zstandard dictionaries are trained, on labelled good and on labelled bad text.  A text is
-compressed with each, in blocks so that a dictionary matters throughout however long the text
-is.  The difference of the compressed sizes over their sum is the measure; monotone (isotonic)
-regression on other training rows turns it into a probability, smoothed between its steps.
+Pairs of zstandard dictionaries are trained, one on labelled good and one on labelled bad text;
+each pair has texts of its own.  A text is compressed with every dictionary, in blocks so that
+a dictionary matters throughout however long the text is.  The difference of the compressed
+sizes of a pair over the size of the text, summed over the pairs, is the measure; a logistic
+curve fitted on other training rows turns it into a probability.
 
 Only ``sample`` labelled documents, chosen by the hash of their ids, are used to fit: of these
 a quarter calibrates and the rest fill the dictionaries.  Held-out rows are never used.
@@ -16,7 +17,7 @@ labels are left out; without labels of both classes every score is the share of
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -25,48 +26,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out
-from .toxicity import training_rows
+from .toxicity import linear, training_rows
 
 SAMPLE = 8_000
 DICTIONARY = 112_640
-BLOCK = 2_048
+BLOCK = 1_024
 LEVEL = 3
-#: Bytes of each training text that go into a dictionary's sample, and texts for each class.
-SAMPLE_BYTES = 8_192
-SAMPLE_TEXTS = 1_500
+#: Pairs of dictionaries, texts of each class in a pair, and the most bytes of a text there.
+PAIRS = 6
+SAMPLE_TEXTS = 260
+SAMPLE_BYTES = 2_048
 
 
 @dataclass
 class Model:
-    good: bytes
-    bad: bytes
-    knots: np.ndarray
-    values: np.ndarray
+    """Pairs of (good, bad) dictionaries; centre and scale of the measure; bias and slope."""
+
+    pairs: list[tuple[bytes, bytes]]
+    centre: float = 0.0
+    scale: float = 1.0
+    curve: np.ndarray = field(default_factory=lambda: np.zeros(2))
 
     def measure(self, texts: list[str | None]) -> np.ndarray:
-        if not self.good or not self.bad:
-            return np.zeros(len(texts))
         import zstandard as z
 
-        if not hasattr(self, "_pair"):
-            self._pair = [z.ZstdCompressor(dict_data=d, level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False) for d in (_precomputed(self.good), _precomputed(self.bad))]
-        good, bad = self._pair
+        if not hasattr(self, "_tools"):
+            options = {"level": LEVEL, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
+            self._tools = [tuple(z.ZstdCompressor(dict_data=_precomputed(d), **options) for d in pair) for pair in self.pairs]
         out = np.zeros(len(texts))
         for k, text in enumerate(texts):
-            data = (text or "").encode()
-            g = b = 0
+            data, less = (text or "").encode(), 0
             for start in range(0, len(data), BLOCK):
                 part = data[start : start + BLOCK]
-                g += len(good.compress(part))
-                b += len(bad.compress(part))
-            out[k] = (b - g) / (b + g) if data else 0.0
+                for good, bad in self._tools:
+                    less += len(bad.compress(part)) - len(good.compress(part))
+            out[k] = less / max(1, len(data))
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        return np.interp(self.measure(texts), self.knots, self.values)
+        z = self.curve[0] + self.curve[1] * (self.measure(texts) - self.centre) / self.scale
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_pair"}
+        return {k: v for k, v in self.__dict__.items() if k != "_tools"}
 
 
 def _precomputed(data: bytes):
@@ -77,42 +79,32 @@ def _precomputed(data: bytes):
     return d
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: (mean x, mean y) of each pool, both rising."""
-    order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []
-    for a, b, w in zip(x[order], y[order], weight[order], strict=True):
-        pools.append([a * w, b * w, w])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-            top = pools.pop()
-            pools[-1] = [u + v for u, v in zip(pools[-1], top, strict=True)]
-    p = np.array(pools)
-    return p[:, 0] / p[:, 2], p[:, 1] / p[:, 2]
-
-
 def dictionary(texts: list[str]) -> bytes:
-    """A dictionary from texts; raw content where there is too little to train one."""
+    """A dictionary from texts; raw content where there is too little to train one, and one
+    byte where there is nothing at all."""
     import zstandard as z
 
     parts = [d[k : k + BLOCK] for d in (t.encode()[:SAMPLE_BYTES] for t in texts) for k in range(0, len(d), BLOCK)]
     try:
         return z.train_dictionary(min(DICTIONARY, max(256, sum(map(len, parts)) // 8)), parts, level=LEVEL).as_bytes()
     except z.ZstdError:
-        return b"".join(parts)[-DICTIONARY:]
+        return b"".join(parts)[-DICTIONARY:] or b" "
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     rows = training_rows(docs, labels, label_col, id_col, text_col, sample).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)))
     share = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(share) < 2:
-        p = (share.get(1, 0) / sum(share.values())) if share else 0.5
-        return Model(b"", b"", np.array([0.0]), np.array([p]))
+        p = min(max((share.get(1, 0) / sum(share.values())) if share else 0.5, 1e-9), 1 - 1e-9)
+        return Model([], curve=np.array([np.log(p / (1 - p)), 0.0]))
 
     def texts(y: int) -> list[str]:
-        chosen = rows.where((F.col("part") > 0) & (F.col("y") == y)).withColumn("text", F.substring("text", 1, SAMPLE_BYTES)).orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(SAMPLE_TEXTS)
-        return [r.text or "" for r in chosen.select("doc_id", "text").collect()]
+        chosen = rows.where((F.col("part") > 0) & (F.col("y") == y)).withColumn("text", F.substring("text", 1, SAMPLE_BYTES))
+        return [r.text or "" for r in chosen.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(PAIRS * SAMPLE_TEXTS).select("doc_id", "text").collect()]
 
-    model = Model(dictionary(texts(1)), dictionary(texts(0)), np.array([0.0]), np.array([0.5]))
+    good, bad = texts(1), texts(0)
+    n = max(1, min(PAIRS, len(good), len(bad)))
+    model = Model([(dictionary(good[k::n]), dictionary(bad[k::n])) for k in range(n)])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rest = rows.where("part = 0").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x double").orderBy("doc_id").collect()
     x, y = np.array([r.x for r in rest]), np.array([float(r.y) for r in rest])
     if len(x):
-        # Two made-up rows, good at the worst measure and bad at the best, keep scores off 0 and 1.
-        x, y = np.concatenate((x, [x.min(), x.max()])), np.concatenate((y, [1.0, 0.0]))
-        model.knots, model.values = isotonic(x, y, np.ones(len(x)))
+        model.centre, model.scale = float(x.mean()), float(x.std()) or 1.0
+        model.curve = linear(np.stack((np.ones(len(x)), (x - model.centre) / model.scale), 1), y, penalty=0.01)
     return model
 
 
