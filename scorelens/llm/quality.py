@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import cut, held_out
 from .toxicity import linear, training_rows
 
 SAMPLE = 8_000
@@ -92,7 +92,7 @@ def dictionary(texts: list[str]) -> bytes:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    rows = training_rows(docs, labels, label_col, id_col, text_col, sample).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)))
+    rows = cut(training_rows(docs, labels, label_col, id_col, text_col, sample).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4))))
     share = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(share) < 2:
         p = min(max((share.get(1, 0) / sum(share.values())) if share else 0.5, 1e-9), 1 - 1e-9)
