@@ -247,7 +247,7 @@ def search(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             if len(whole[0]):
                 yield stars(*whole)
 
-    return nodes.repartition("path", "pattern").sortWithinPartitions("path", "pattern").mapInArrow(run, "u long, v long")
+    return nodes.select("fp", "path", "pattern").repartition("path", "pattern").sortWithinPartitions("path", "pattern").mapInArrow(run, "u long, v long")
 
 
 def links(distinct: DataFrame, limit: int | None = None, radius: int = RADIUS) -> DataFrame:
