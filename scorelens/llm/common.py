@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a per-source or per-digest table that may be broadcast; its size is counted first.
+#: Rows of a per-source table that may be broadcast; they are counted first.
 BROADCAST_ROWS = 50_000
 
 
@@ -34,12 +34,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(table: DataFrame) -> DataFrame:
-    """``table`` with a broadcast hint if it has at most BROADCAST_ROWS rows; beyond that the
-    planner joins by shuffling, where adaptive execution splits skewed keys."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
-
-
 def held_out(doc_id: Column | str) -> Column:
     """crc32 of the id as text, mod 5, is 0; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % 5 == 0, F.lit(False))

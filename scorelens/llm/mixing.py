@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import BROADCAST_ROWS, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 1024
@@ -66,9 +66,10 @@ def _sized(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: s
     )
 
 
-def _with_source(left: DataFrame, right: DataFrame, *columns, how: str = "inner", source: str = "source") -> DataFrame:
-    """``left`` with columns of its source's row; null is a source like any other."""
-    return left.alias("a").join(small(right).alias("b"), F.col(f"a.{source}").eqNullSafe(F.col("b.source")), how).select("a.*", *columns)
+def _with_source(left: DataFrame, right: DataFrame, *columns, few: bool, how: str = "inner", source: str = "source") -> DataFrame:
+    """``left`` with columns of its source's row; null is a source like any other.  ``right`` is
+    broadcast if the sources were counted to be few."""
+    return left.alias("a").join((F.broadcast(right) if few else right).alias("b"), F.col(f"a.{source}").eqNullSafe(F.col("b.source")), how).select("a.*", *columns)
 
 
 def _rank():
@@ -76,16 +77,17 @@ def _rank():
     return u * (1 - f) / (u * (1 - f) + f * (1 - u))
 
 
-def _decisions(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """By source: source_size, target, copies, f, the first key that is not drawn, and the keys
+def _decisions(rows: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, bool]:
+    """(table, whether it has few rows).  By source: source_size, target, copies, f, the first key that is not drawn, and the keys
     drawn beyond it.  A key is (rank, doc_id, check)."""
     total = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     s, t = F.col("source_size"), F.col("target")
     copies = F.when(s > 0, F.least(F.lit(most), F.floor(t / s))).otherwise(0).cast("long")
     total = total.withColumn("copies", copies).withColumn("rest", F.greatest(F.lit(0.0), t - F.col("copies") * s))
     total = cut(total.withColumn("f", F.when(s > 0, F.col("rest") / s).otherwise(0.0)))
+    few = total.count() <= BROADCAST_ROWS
 
-    drawn = _with_source(rows.where("size > 0"), total, "f", "rest").where("f > 0").withColumn("rank", _rank())
+    drawn = _with_source(rows.where("size > 0"), total, "f", "rest", few=few).where("f > 0").withColumn("rank", _rank())
     drawn = drawn.withColumns({"bin": F.floor(F.col("rank") * BINS), "fine": F.floor(F.col("rank") * (BINS * BINS)) % BINS})
     drawn = drawn.withColumn("key", F.struct("rank", "doc_id", "check")).withColumn("base", F.lit(0).cast("long"))
 
@@ -94,29 +96,29 @@ def _decisions(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
         summed = table.groupBy("source", bin_).agg(F.sum("size").alias("n"), F.max("rest").alias("rest"), F.max("base").alias("base"))
         upto = F.col("base") + F.sum("n").over(Window.partitionBy("source").orderBy(bin_))
         first = summed.withColumn("upto", upto).where("upto > rest").groupBy("source")
-        return cut(first.agg(F.min(F.struct(F.col(bin_).alias("at"), (F.col("upto") - F.col("n")).alias("before"))).alias("x")).select("source", "x.*"))
+        return first.agg(F.min(F.struct(F.col(bin_).alias("at"), (F.col("upto") - F.col("n")).alias("before"))).alias("x")).select("source", "x.*")
 
     inside = drawn
     for bin_ in ("bin", "fine"):
-        inside = _with_source(inside, crossing(inside, bin_), "b.at", "b.before").where(F.col(bin_) == F.col("at")).withColumn("base", F.col("before")).drop("at", "before")
+        inside = _with_source(inside, crossing(inside, bin_), "b.at", "b.before", few=few).where(F.col(bin_) == F.col("at")).withColumn("base", F.col("before")).drop("at", "before")
     upto = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "check").rowsBetween(Window.unboundedPreceding, 0))
     beyond = inside.withColumn("upto", upto).where("upto > rest").groupBy("source")
     state = cut(beyond.agg(F.min(F.struct("key", (F.col("rest") - F.col("upto") + F.col("size")).alias("gap"))).alias("x")).select("source", "x.*", F.array_remove(F.array("x.key"), F.col("x.key")).alias("more")))
     for _ in range(FILLS):
-        fit = _with_source(drawn, state, F.col("b.key").alias("from"), "gap", "more").where("key >= from and size <= gap and not array_contains(more, key)")
+        fit = _with_source(drawn, state, F.col("b.key").alias("from"), "gap", "more", few=few).where("key >= from and size <= gap and not array_contains(more, key)")
         best = fit.groupBy("source").agg(F.min(F.struct((-F.col("size")).alias("less"), "key")).alias("x"))
         state = cut(
-            _with_source(state, best, "x", how="left").select(
+            _with_source(state, best, "x", few=few, how="left").select(
                 "source", "key", (F.col("gap") + F.coalesce("x.less", F.lit(0))).alias("gap"), F.when(F.col("x").isNull(), F.col("more")).otherwise(F.concat("more", F.array("x.key"))).alias("more")
             )
         )
-    return cut(_with_source(total, state, "key", "more", how="left"))
+    return cut(_with_source(total, state, "key", "more", few=few, how="left")), few
 
 
-def _decided(docs: DataFrame, per_source: DataFrame) -> DataFrame:
+def _decided(docs: DataFrame, per_source: DataFrame, few: bool) -> DataFrame:
     """Adds source_size, target, copies (0 for size 0) to columns m_ and those of ``docs``; no
     row moves, as the table of sources is broadcast."""
-    got = _with_source(docs.withColumn("source_", F.col("m_.source")), per_source, "source_size", "target", F.col("b.copies").alias("whole"), "f", F.col("b.key").alias("from"), "more", source="source_")
+    got = _with_source(docs.withColumn("source_", F.col("m_.source")), per_source, "source_size", "target", F.col("b.copies").alias("whole"), "f", F.col("b.key").alias("from"), "more", few=few, source="source_")
     got = got.withColumn("u", F.col("m_.u"))
     key = F.struct(_rank().alias("rank"), F.col("m_.doc_id").alias("doc_id"), F.col("m_.check").alias("check"))
     once = (F.col("f") > 0) & (F.col("from").isNull() | (key < F.col("from")) | F.array_contains("more", key))
@@ -126,13 +128,13 @@ def _decided(docs: DataFrame, per_source: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies."""
     rows = cut(_sized(docs, seed, id_col, text_col, source_col).select("m_"))
-    out = _decided(rows, _decisions(rows.select("m_.*"), weights, most))
+    out = _decided(rows, *_decisions(rows.select("m_.*"), weights, most))
     return out.select("m_.doc_id", "m_.size", "source_size", "target", (F.col("m_.size") * F.col("copies_")).alias("taken"), F.col("copies_").alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` itself with each row as often as the mix takes it.  Texts are not shuffled."""
     sized = _sized(docs, seed, id_col, text_col, source_col)
-    per_source = _decisions(cut(sized.select("m_.*")), weights, most)
-    out = _decided(sized, per_source).where("copies_ > 0").withColumn("nth_", F.explode(F.sequence(F.lit(1), F.col("copies_"))))
+    out = _decided(sized, *_decisions(cut(sized.select("m_.*")), weights, most))
+    out = out.where("copies_ > 0").withColumn("nth_", F.explode(F.sequence(F.lit(1), F.col("copies_"))))
     return out.select(*docs.columns)
