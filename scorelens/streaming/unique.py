@@ -1,8 +1,9 @@
 """Deduplication of a stream of responses, with a manifest as its state.
 
 Each micro-batch goes through the batch operator against the manifest.  All attempts go to the
-runs log, unique ones to the manifest, in a folder per batch that is overwritten: a batch that
-is tried again after a crash leaves the same rows, and reads only the batches before it.
+runs log, unique ones to the manifest and, with their text and a numbered name, to the unique
+responses, in a folder per batch that is overwritten: a batch that is tried again after a crash
+leaves the same rows, and reads only the batches before it.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ def unique_loop(responses: DataFrame, folder: str, mode: str = "strip", seq: str
         done = deduplicate(rows, mode, seq, text, seen).withColumn("compare_mode", F.lit(mode)).persist()
         done.write.mode("overwrite").parquet(f"{folder}/runs/batch={number}")
         done.where("is_unique").select("hash", "unique_index", "compare_mode").write.mode("overwrite").parquet(f"{folder}/manifest/batch={number}")
+        named = F.format_string("unique_%06d", F.col("unique_index")).alias("name")
+        done.where("is_unique").select(named, F.col(seq).alias("seq"), F.col(text).alias("text"), "hash", "unique_index", "compare_mode").write.mode("overwrite").json(f"{folder}/unique/batch={number}")
         done.unpersist()
 
     trigger = {"processingTime": every} if every else {"availableNow": True}

@@ -39,6 +39,8 @@ def test_stream_resumes(spark, tmp_path):
         unique.unique_loop(spark.readStream.schema("seq long, text string").parquet(source), out).awaitTermination()
         got = unique.runs_log(spark, out).where(F.col("seq") >= rows[0][0]).orderBy("seq").collect()
         assert [(r.seq, r.unique_index) for r in got] == want
+    named = spark.read.json(f"{out}/unique").orderBy("name").collect()
+    assert [(r.name, r.text) for r in named] == [("unique_000001", "a"), ("unique_000002", "b"), ("unique_000003", "c"), ("unique_000004", "d")]
 
 
 def test_unique_response(tmp_path):
@@ -70,3 +72,38 @@ def test_probe_command(spark, tmp_path):
     cli.run_probe(spark, cli.parser().parse_args(["probe", "--logits", str(tmp_path / "l"), "--masked-logits", str(tmp_path / "m"), "--vocab", str(tmp_path / "v"), "--output-dir", out]))
     assert spark.read.options(**readers.CSV).csv(f"{out}/word_probabilities.csv").count() == 5
     assert "<table>" in spark.read.json(f"{out}/token_probabilities_html").first().html
+
+
+def test_word_boxes(spark, tmp_path):
+    (tmp_path / "words.json").write_text('{"words": [{"text": "a", "bbox": [120, 240, 188, 260]}, {"box": [210, 240, 280, 260]}, [300, 240, 360, 260]]}')
+    got = readers.word_boxes(spark, str(tmp_path / "words.json"), 400, 300).orderBy("nth").collect()
+    assert [tuple(r)[1:] for r in got] == [(120, 240, 188, 260), (210, 240, 280, 260), (300, 240, 360, 260)]
+
+
+def test_force_continue_command(spark, tmp_path):
+    table = spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "index int, token_id int")
+    writers.csv(table, str(tmp_path / "p.csv"), ["index", "token_id"])
+    spark.createDataFrame([(0, "a"), (1, " b"), (2, ",")], "token_id int, raw_token string").write.parquet(str(tmp_path / "v"))
+    spark.createDataFrame([(0, [0.0, 1.0, 2.0])], "response_id int, z array<double>").write.parquet(str(tmp_path / "z"))
+    out = str(tmp_path / "out")
+    args = ["force-continue", "--prefix-token-csv", str(tmp_path / "p.csv"), "--prefix-end-index", "1", "--force-token-ids", "2, 0", "--vocab", str(tmp_path / "v"), "--next-logits", str(tmp_path / "z"), "--top-k", "2", "--output-dir", out]
+    cli.run_force_continue(spark, cli.parser().parse_args(args))
+    assert spark.read.text(f"{out}/forced_prefix.txt").first().value == "b,,a"
+    assert [r.token_id for r in spark.read.json(f"{out}/next_token").orderBy("rank").collect()] == [2, 1]
+
+
+def test_unique_loop_command(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "a ")], "seq long, text string").write.parquet(str(tmp_path / "r"))
+    out = str(tmp_path / "out")
+    cli.run_unique_loop(spark, cli.parser().parse_args(["unique-loop", "--responses", str(tmp_path / "r"), "--output-dir", out, "--no-do-sample"]))
+    assert unique.manifest(spark, out).count() == 1
+    assert '"temperature":null' in spark.read.text(f"{out}/config").first().value
+
+
+def test_payload_repeats_the_response(spark):
+    import json
+
+    scores = spark.createDataFrame([(1, 1, 7, 0.5), (1, 0, 5, 0.25)], "response_id int, token_index int, token_id int, p double")
+    replies = spark.createDataFrame([(1, "original")], "response_id int, label string")
+    got = json.loads(writers.payload(replies, scores, ["token_index", "token_id", "p"], pretty=True).first().payload)
+    assert got["tokens"] == got["responses"]["original_image_response"]["tokens"] == [{"token_index": 0, "token_id": 5, "p": 0.25}, {"token_index": 1, "token_id": 7, "p": 0.5}]

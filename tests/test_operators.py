@@ -182,3 +182,19 @@ def test_degrade_blur_keeps_flat_image(spark):
 def test_config(change):
     with pytest.raises(ValueError):
         MaskConfig(**change).validate()
+
+
+@pytest.mark.parametrize("strategy, effect, fill", [("patch", "replace", "mean"), ("patch", "noise", "mean"), ("patch", "blur_fade", "white"), ("word", "fade", "noise")])
+def test_apply_mask(spark, strategy, effect, fill):
+    rows = spark.createDataFrame([(1, y, x, 0 if 4 <= y < 10 and (x % 12) < 8 else 200) for y in range(16) for x in range(40)], "image int, y int, x int, gray int")
+    images = spark.createDataFrame([(1, 40, 16)], "image int, width int, height int")
+    config = MaskConfig(strategy=strategy, effect=effect, fill=fill, patch_size=8, word_gap=2, text_threshold=100, ratio=0.5)
+    done, selected, counts = pixels.apply_mask(rows, images, config)
+    c = counts.first()
+    assert (c.num_candidates, c.num_selected) == ((10, 5) if strategy == "patch" else (4, 2)) and selected.count() == c.num_selected
+    values = {(r.y, r.x): r.value for r in done.collect()}
+    assert len(values) == 640 and all(0 <= v <= 255 for v in values.values())
+    inside = {(y, x) for r in selected.collect() for y in range(r.y1, r.y2) for x in range(r.x1, r.x2)}
+    before = {(r.y, r.x): r.gray for r in rows.collect()}
+    assert all(values[k] == before[k] for k in before if k not in inside)
+    assert sorted(done.collect()) == sorted(pixels.apply_mask(rows.repartition(3), images, config)[0].collect())
