@@ -190,4 +190,13 @@ ORACLE_SQL = {
     "report_hue": f"""WITH {PAIRED} SELECT response_id, token_index, round_even(8 + 128 * greatest(0, least(1, round(p_original, 6))), 1) AS hue_original,
         round_even(8 + 128 * greatest(0, least(1, round(p_masked, 6))), 1) AS hue_masked FROM paired""",
     "plot_ticks": """SELECT vec_id // 100 AS response_id, (vec_id % 100)::INTEGER AS token_index, (vec_id % 100) % greatest(1, count(*) OVER (PARTITION BY vec_id // 100) // 40) = 0 AS is_tick FROM embeddings""",
+    "word_boxes_json": """SELECT * FROM (VALUES (0::BIGINT, 120, 240, 188, 260), (0, 210, 240, 280, 260), (0, 300, 240, 360, 260), (1, 1, 2, 3, 4), (1, 5, 6, 7, 8), (2, 10, 20, 40, 60), (3, 40, 60, 200, 120)) v(id, x1, y1, x2, y2)""",
+    "csv_roundtrip": f"""WITH {PAIRED}, {VOCAB}, raw AS (
+            SELECT p.*, coalesce(CASE (response_id * 20 + token_index) % 50 WHEN 0 THEN 'a,b' WHEN 1 THEN 'say "x"' WHEN 2 THEN 'two' || chr(10) || 'lines' WHEN 3 THEN 'back\\slash'
+                WHEN 4 THEN ' leading' WHEN 5 THEN '' WHEN 6 THEN 'lone' || chr(13) || 'return' END, v.raw_token) AS raw_token, o.raw_token AS top_raw_token_original, m.raw_token AS top_raw_token_masked
+            FROM paired p LEFT JOIN vocab v ON p.token_id = v.token_id LEFT JOIN vocab o ON top_token_id_original = o.token_id LEFT JOIN vocab m ON top_token_id_masked = m.token_id)
+        SELECT response_id, token_index AS index, token_id, {_shown("raw_token")} AS token, raw_token, round(p_original, 6) AS p_original, round(p_masked, 6) AS p_masked, {_no_sign("delta_p")} AS delta_p,
+            round(logp_original, 6) AS logp_original, round(logp_masked, 6) AS logp_masked, {_no_sign("delta_logp")} AS delta_logp, top_token_id_original, {_shown("top_raw_token_original")} AS top_token_original,
+            top_raw_token_original, round(top_p_original, 6) AS top_p_original, round(top_logp_original, 6) AS top_logp_original, top_token_id_masked, {_shown("top_raw_token_masked")} AS top_token_masked,
+            top_raw_token_masked, round(top_p_masked, 6) AS top_p_masked, round(top_logp_masked, 6) AS top_logp_masked, top_token_changed, target_is_top_original, target_is_top_masked FROM raw""",
 }
