@@ -20,6 +20,7 @@ doc_id stays null; positions are code points, the end exclusive.
 
 from __future__ import annotations
 
+import json
 import random
 from functools import partial, reduce
 
@@ -222,7 +223,8 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int]]:
 
 def train(spark: SparkSession, n: int = EXAMPLES) -> tuple[list, list[float]]:
     """Trees, and for each kind the log-odds from which a candidate is accepted."""
-    texts = spark.createDataFrame(examples(n), "text string, y int")
+    made = json.dumps([{"text": t, "y": y} for t, y in examples(n)])
+    texts = spark.range(1).select(F.inline(F.from_json(F.lit(made), "array<struct<text:string,y:int>>")))
     found = _located(texts, MORE, "more_", lambda k, m: F.lit(True))
     every = F.concat(*(F.transform(f"more_{k}", partial(_numbers, k)) for k in KINDS))
     got = found.select("text", "y", F.explode(every).alias("f")).orderBy("text", "f").collect()
