@@ -101,7 +101,9 @@ def _spans(matches: Column, gaps: Column, valid) -> Column:
     return F.flatten(F.transform(F.array(steps), from_steps))
 
 
+PARTS = ("start", "end", "text", "before", "after")
 EMPTY = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
+SCORED = EMPTY[:-2] + ",score:double>>"
 
 
 def _located(docs: DataFrame, patterns: dict, prefix: str, valid) -> DataFrame:
@@ -146,23 +148,24 @@ def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, d
     best = (1e-6, None, None)
     if depth and len(rows) >= 20:
         for f in range(x.shape[1]):
-            values = np.unique(x[rows, f])
-            for t in (values[:-1] + values[1:]) / 2 if len(values) <= 33 else np.quantile(values, np.linspace(0.03, 0.97, 32)):
-                low = x[rows, f] <= t
-                gl, hl = grad[rows][low].sum(), hess[rows][low].sum()
-                gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
-                if gain > best[0]:
-                    best = (gain, f, float(t))
+            order = rows[np.argsort(x[rows, f], kind="stable")]
+            values, gl, hl = x[order, f], np.cumsum(grad[order]), np.cumsum(hess[order])
+            ends = np.nonzero(values[1:] != values[:-1])[0]
+            if len(ends):
+                gain = gl[ends] ** 2 / (hl[ends] + 1) + (g - gl[ends]) ** 2 / (h - hl[ends] + 1) - g**2 / (h + 1)
+                k = int(gain.argmax())
+                if gain[k] > best[0]:
+                    best = (gain[k], f, float(values[ends[k]] + values[ends[k] + 1]) / 2)
     if best[1] is None:
         return float(RATE * g / (h + 1))
     low = x[rows, best[1]] <= best[2]
     return best[1], best[2], _grow(x, grad, hess, rows[low], depth - 1), _grow(x, grad, hess, rows[~low], depth - 1)
 
 
-def _leaf(tree, row: np.ndarray) -> float:
-    while isinstance(tree, tuple):
-        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-    return tree
+def _predict(tree, x: np.ndarray) -> np.ndarray:
+    if not isinstance(tree, tuple):
+        return np.full(len(x), tree)
+    return np.where(x[:, tree[0]] <= tree[1], _predict(tree[2], x), _predict(tree[3], x))
 
 
 def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> list:
@@ -171,15 +174,16 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> list:
     for _ in range(trees):
         p = 1 / (1 + np.exp(-z))
         tree = _grow(x, y - p, p * (1 - p), np.arange(len(y)), DEPTH)
-        z += np.array([_leaf(tree, r) for r in x])
+        z += _predict(tree, x)
         out.append(tree)
     return out
 
 
-def _expression(tree, f: list[Column]) -> Column:
+def _sql(tree) -> str:
+    """A tree as SQL over x.f, the features of a candidate x."""
     if not isinstance(tree, tuple):
-        return F.lit(tree)
-    return F.when(f[tree[0]] <= tree[1], _expression(tree[2], f)).otherwise(_expression(tree[3], f))
+        return f"{tree!r}D"
+    return f"CASE WHEN x.f[{tree[0]}] <= {tree[1]!r}D THEN {_sql(tree[2])} ELSE {_sql(tree[3])} END"
 
 
 def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int]]:
@@ -231,7 +235,7 @@ def train(spark: SparkSession, n: int = EXAMPLES) -> tuple[list, list[float]]:
     x, y = np.array([r.f for r in got]), np.array([float(r.y) for r in got])
     half = np.arange(len(y)) % 2 == 0
     trees = boost(x[half], y[half])
-    z = np.array([sum(_leaf(t, r) for t in trees) for r in x[~half]])
+    z = sum(_predict(t, x[~half]) for t in trees)
     limits = []
     for k in range(len(KINDS)):
         own = x[~half][:, 0] == k
@@ -254,16 +258,18 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = _located(rows, BASE, "base_", _valid)
     rows = _located(rows, MORE, "more_", lambda k, m: F.lit(True))
 
-    def scored(k: str) -> Column:
-        def one(x: Column) -> Column:
-            f = _numbers(k, x)
-            z = F.aggregate(F.array(f), F.lit(0.0), lambda s, v: s + reduce(lambda a, b: a + b, (_expression(t, [F.get(v, F.lit(i)) for i in range(len(FEATURES))]) for t in trees)))
-            return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), x["before"].alias("before"), x["after"].alias("after"), z.alias("score"))
+    def fresh(k: str) -> Column:
+        own = F.filter(f"more_{k}", lambda x: ~reduce(lambda a, b: a | b, (F.exists(f"base_{o}", lambda b: _overlap(x, b)) for o in KINDS)))
+        return F.transform(own, lambda x: F.struct(*(x[c].alias(c) for c in PARTS), _numbers(k, x).alias("f")))
 
-        fresh = F.filter(f"more_{k}", lambda x: ~reduce(lambda a, b: a | b, (F.exists(f"base_{o}", lambda b: _overlap(x, b)) for o in KINDS)))
-        return F.filter(F.transform(fresh, one), lambda x: x["score"] >= limits[KINDS.index(k)])
+    def scored(k: str) -> Column:
+        total = " + ".join(map(_sql, trees))
+        parts = ", ".join(f"x.{c} AS {c}" for c in PARTS)
+        limit = limits[KINDS.index(k)]
+        return F.expr(f"filter(transform(more_{k}, x -> struct({parts}, {total} AS score)), x -> x.score >= {limit!r}D)") if np.isfinite(limit) else F.array().cast(SCORED)
 
-    rows = rows.withColumns({f"more_{k}": F.when(F.size(f"more_{k}") == 0, F.array().cast(EMPTY[:-2] + ",score:double>>")).otherwise(scored(k)) for k in KINDS})
+    for step, empty in ((fresh, EMPTY[:-2] + ",f:array<double>>>"), (scored, SCORED)):
+        rows = rows.withColumns({f"more_{k}": F.when(F.size(f"more_{k}") == 0, F.array().cast(empty)).otherwise(step(k)) for k in KINDS})
 
     def best(k: str) -> Column:
         def beaten(x: Column) -> Column:
