@@ -34,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def if_few(table: DataFrame, most: int) -> DataFrame:
+    """``table``, written and counted; with a broadcast hint if it has at most ``most`` rows.
+    Beyond that a join shuffles both sides."""
+    table = cut(table)
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def held_out(doc_id: Column | str) -> Column:
     """crc32 of the id as text, mod 5, is 0; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % 5 == 0, F.lit(False))

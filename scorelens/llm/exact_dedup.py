@@ -15,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, if_few
 
 SKETCHES = 64
+#: Rows to take out that may be broadcast (about 25 MB).
+BROADCAST_GONE = 300_000
 
 
 def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,7 +73,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row for each text.
 
     The rows that go are found first and taken out by an anti-join on id and digest, so that
-    texts are shuffled only where the list of them is too long to broadcast.  Rows that repeat
+    texts are shuffled only where the list of them is counted to be too long to broadcast.  Rows that repeat
     id and text are few; they are brought together by themselves.
     """
     marked = cut(groups(docs, id_col, text_col, **options))
@@ -82,8 +84,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return keyed["id_"].eqNullSafe(t["i"]) & (keyed["digest_"] == t["d"])
 
     gone = marked.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("d"))
+    gone = if_few(gone, BROADCAST_GONE)
     again = cut(marked.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("d")).distinct())
     if again.isEmpty():
         return keyed.join(gone, match(gone), "left_anti").select(*docs.columns)
     once = keyed.join(again, match(again), "left_semi").dropDuplicates(["id_", "digest_"])
-    return keyed.join(gone.unionByName(again), match(gone), "left_anti").unionByName(once).select(*docs.columns)
+    return keyed.join(gone, match(gone), "left_anti").join(again, match(again), "left_anti").unionByName(once).select(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import if_few
 
 WORDS, PAIRS = 1 << 18, 1 << 20
 PRIOR, STRENGTH = 0.5, 4.0
@@ -99,9 +99,7 @@ def count(docs: DataFrame, is_target: str) -> DataFrame:
 
 def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, Model]:
     """(target, background) models; ``targets`` holds the ids of target documents."""
-    ids = cut(targets.select(F.col(id_col).alias("t_id")).where(F.col("t_id").isNotNull()).distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = if_few(targets.select(F.col(id_col).alias("t_id")).where(F.col("t_id").isNotNull()).distinct(), BROADCAST_IDS)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = rows.join(ids, F.col("doc_id") == F.col("t_id"), "left").select("text", F.col("t_id").isNotNull().alias("is_target"))
     got = count(marked, "is_target").toArrow()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, if_few
 
 SEED = 42
 RADIUS = 3
@@ -37,6 +37,8 @@ LEVELS = 4
 #: Pairs of nodes handled at once, and rows gathered before a search begins.
 PAIRS = 20_000
 ROWS = 200_000
+#: Ids to take out that may be broadcast (16 MB).
+BROADCAST_GONE = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -308,5 +310,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with the document of the smallest id of each component.  Rows of a null id stay
     only where no id is known in their component; then all of them do."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_")).distinct()
+    gone = if_few(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_")).distinct(), BROADCAST_GONE)
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_")), "left_anti")
