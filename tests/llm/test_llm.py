@@ -386,6 +386,37 @@ def test_losses_against_counting(spark):
     assert np.mean([got[k].score for k in target]) < np.mean([got[k].score for k, _ in rows if k not in target])
 
 
+def test_losses_of_many_words(spark, monkeypatch):
+    """More words and pairs than any fixed number of classes, in several batches and buckets."""
+    monkeypatch.setattr(lm_scoring, "TOKENS", 150_000)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 1 << 20)
+    r = random.Random(8)
+    rows = [(k, " ".join(f"x{r.randrange(400_000)}" for _ in range(20_000))) for k in range(60)]
+    rows += [(100 + k, "the cat sat. the cat ran é") for k in range(3)]
+    docs = documents(spark, rows)
+    target = {k for k, _ in rows if k % 3 == 0}
+    models = lm_scoring.fit(docs, spark.createDataFrame([(k,) for k in target], "doc_id long"))
+    split = {k: t.split() for k, t in rows}
+    seen = {w for words in split.values() for w in words}
+    assert len(seen) > lm_scoring.WORDS and models.buckets > 4
+    got = {x.doc_id: x for x in lm_scoring.score(docs, models).collect()}
+    sizes = [sum(len(split[k]) for k in ids) for ids in (target, set(split))]
+    for ids, scale, name in ((target, 1, "target_loss"), (set(split), sizes[0] / sizes[1], "background_loss")):
+        word, pair = Counter(), Counter()
+        for k in ids:
+            word.update(split[k])
+            pair.update(zip(split[k], split[k][1:], strict=False))
+        base = {w: (word[w] * scale + lm_scoring.PRIOR) / (sizes[0] + lm_scoring.PRIOR * len(seen)) for w in seen}
+        assert sum(base.values()) == pytest.approx(1)
+        for k in (0, 1, 59, 100, 101, 102):
+            loss = -math.log(base[split[k][0]])
+            for v, w in zip(split[k], split[k][1:], strict=False):
+                loss -= math.log((pair[v, w] * scale + lm_scoring.STRENGTH * base[w]) / (word[v] * scale + lm_scoring.STRENGTH))
+            assert got[k][name] == pytest.approx(loss / len(split[k]), rel=1e-9)
+    apart = {x.doc_id: x for x in lm_scoring.score(docs.where("doc_id < 102"), models).collect()}
+    assert len(apart) == len(rows) - 1 and all(apart[k].score == pytest.approx(got[k].score, abs=1e-12) for k in apart)
+
+
 def test_lm_edges(spark):
     docs = documents(spark, edge_rows(), clashes=True)
     none = spark.createDataFrame([], "doc_id long")
