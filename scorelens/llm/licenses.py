@@ -1,8 +1,10 @@
 """Licence scans by sentence rules, in DataFrame functions.
 
-A text is cut into sentences (at line ends, and after . ! ? ; before white space), each is
-normalised (lower case; every run of characters other than a-z, 0-9 and '+' is one space) and
-looked up among known licence sentences.  The identifiers found, in order, are matched against
+A text is normalised (lower case; every run of characters other than a-z, 0-9 and '+' is one
+space), except that ends of sentences (after . ! ? ; before white space) and of lines are kept.
+A known licence sentence is found where it stands between two such ends with nothing but line
+ends, or sentence ends of its own (as in 'v. 2.0'), inside; of several from one place the
+longest.  So hard-wrapped texts and comments are read.  The identifiers found, in order, are matched against
 ordered rules: the first rule that applies takes its sentences out, so a full licence text
 is reported as such and not as the notices inside it.
 
@@ -82,11 +84,17 @@ RULES = [
     (("unlicense",), "Unlicense"),
     (("reserved",), "LicenseRef-all-rights-reserved"),
 ]
-BREAK = r"(?<=[.!?;])[ \t]+|[\r\n]+"
+BREAK = r"(?<=[.!?;])[ \t\r\n]+"
+#: What normalised text keeps of a sentence end and of a line end.
+STOP, LINE = "\x01", "\x02"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9+]+", " "))
+def normalised(text: Column) -> Column:
+    """Words with one of ' ', LINE and STOP between them."""
+    ended = F.regexp_replace(F.regexp_replace(F.lower(text), BREAK, STOP), "[\r\n]+", LINE)
+    words = F.regexp_replace(ended, f"[^a-z0-9+{STOP}{LINE}]+", " ")
+    one = F.regexp_replace(words, f"[ {LINE}]*{STOP}[ {STOP}{LINE}]*", STOP)
+    return F.trim(F.regexp_replace(one, f" ?{LINE}[ {LINE}]*", LINE))
 
 
 def _key(sentence: str) -> str:
@@ -95,14 +103,33 @@ def _key(sentence: str) -> str:
     return re.sub("[^a-z0-9+]+", " ", sentence.lower()).strip()
 
 
+def _pattern(sentence: str) -> str:
+    """The sentence in normalised text; a STOP may stand where it has one itself."""
+    import re
+
+    parts = [_key(p).replace("+", "[+]").replace(" ", f"[ {LINE}]") for p in re.split(BREAK, sentence)]
+    return f"[ {LINE}{STOP}]".join(p for p in parts if p)
+
+
+def _cover(keys: list[str]) -> list[str]:
+    """Words of which every key has one."""
+    left, out = list(keys), []
+    while left:
+        words = sorted({w for k in left for w in k.split()})
+        out.append(max(words, key=lambda w: (sum(w in k.split() for k in left) * (len(w) > 5), len(w))))
+        left = [k for k in left if out[-1] not in k.split()]
+    return out
+
+
 def identifiers(text: Column, sentences: dict[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     keys = {_key(s): i for i, s in sentences.items()}
     known, ids = (F.array(*map(F.lit, x)) for x in (list(keys), list(keys.values())))
-    least, most = min(map(len, keys)), max(map(len, keys))
-    long_enough = F.filter(F.split(F.coalesce(text, F.lit("")), BREAK), lambda s: F.length(s).between(least, 4 * most))
-    found = F.transform(long_enough, lambda s: F.array_position(known, normalised(s)).cast("int"))
-    return F.transform(F.filter(found, lambda k: k > 0), lambda k: F.get(ids, k - 1))
+    longest = sorted(sentences.values(), key=lambda s: -len(_key(s)))
+    pattern = f"(?<![^{STOP}{LINE}])(?:{'|'.join(map(_pattern, longest))})(?![^{STOP}{LINE}])"
+    possible = reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(w)) for w in _cover(list(keys))))
+    found = F.when(possible, F.regexp_extract_all(normalised(text), F.lit(pattern), F.lit(0)))
+    return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda s: F.get(ids, F.array_position(known, F.translate(s, STOP + LINE, "  ")).cast("int") - 1))
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
