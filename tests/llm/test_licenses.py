@@ -58,3 +58,8 @@ def test_every_sentence(spark):
 def test_not_inside_a_sentence(spark):
     texts = ["they say all rights reserved here", "All rights. reserved", "all rights reserved by\nsomeone", "some all\nrights reserved"]
     assert [r.sentence_ids for r in scanned(spark, texts)] == ["", "", "", ""]
+
+
+def test_long_runs_of_other_characters(spark):
+    texts = ["All rights reserved " + "-" * 2500, "All" + " " * 5000 + "rights reserved", "=" * 4000 + "\nAll rights reserved\n" + "=" * 4000]
+    assert [r.sentence_ids for r in scanned(spark, texts)] == ["reserved"] * 3
