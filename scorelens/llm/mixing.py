@@ -4,8 +4,9 @@ Sources share all words by weight, each at most ``most`` times its own; what exc
 shared again.  A document of a source whose target is r times its size gets floor(r) certain
 copies.  The rest, a part f of the source, is drawn: documents are ranked by their random odds
 divided by their inclusion odds, u/(1-u) over f/(1-f), and taken in this order while their
-words fit.  Up to FILLS further documents, each time the largest that fits, close the gap that
-remains, so a source misses its target by less than its shortest document not taken, in general.
+words fit.  Further documents, each time the largest that fits (of equal ones the first in this
+order), close the gap that remains until none fits, so a source misses its target by less than
+its shortest document not drawn.  How many of which size go in follows from counts by size.
 
 The order is found without sorting a source in one task: the rank is cut into 1,024 bins, the
 bin that crosses the target into 1,024 again, and only the rows of that one are sorted.
@@ -20,11 +21,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
+from .common import BROADCAST_ROWS, cut, if_few
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 1024
-FILLS = 3
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -77,9 +77,9 @@ def _rank():
     return u * (1 - f) / (u * (1 - f) + f * (1 - u))
 
 
-def _decisions(rows: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, bool]:
-    """(table, whether it has few rows).  By source: source_size, target, copies, f, the first key that is not drawn, and the keys
-    drawn beyond it.  A key is (rank, doc_id, check)."""
+def _decisions(rows: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, bool, DataFrame]:
+    """(table, whether it has few rows, documents drawn beyond).  The table has by source:
+    source_size, target, copies, f, the first key that is not drawn.  A key is (rank, doc_id, check)."""
     total = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     s, t = F.col("source_size"), F.col("target")
     copies = F.when(s > 0, F.least(F.lit(most), F.floor(t / s))).otherwise(0).cast("long")
@@ -101,27 +101,45 @@ def _decisions(rows: DataFrame, weights: tuple[int, ...], most: int) -> tuple[Da
     inside = drawn
     for bin_ in ("bin", "fine"):
         inside = _with_source(inside, crossing(inside, bin_), "b.at", "b.before", few=few).where(F.col(bin_) == F.col("at")).withColumn("base", F.col("before")).drop("at", "before")
-    upto = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "check").rowsBetween(Window.unboundedPreceding, 0))
-    beyond = inside.withColumn("upto", upto).where("upto > rest").groupBy("source")
-    state = cut(beyond.agg(F.min(F.struct("key", (F.col("rest") - F.col("upto") + F.col("size")).alias("gap"))).alias("x")).select("source", "x.*", F.array_remove(F.array("x.key"), F.col("x.key")).alias("more")))
-    for _ in range(FILLS):
-        fit = _with_source(drawn, state, F.col("b.key").alias("from"), "gap", "more", few=few).where("key >= from and size <= gap and not array_contains(more, key)")
-        best = fit.groupBy("source").agg(F.min(F.struct((-F.col("size")).alias("less"), "key")).alias("x"))
-        state = cut(
-            _with_source(state, best, "x", few=few, how="left").select(
-                "source", "key", (F.col("gap") + F.coalesce("x.less", F.lit(0))).alias("gap"), F.when(F.col("x").isNull(), F.col("more")).otherwise(F.concat("more", F.array("x.key"))).alias("more")
-            )
-        )
-    return cut(_with_source(total, state, "key", "more", few=few, how="left")), few
-
-
-def _decided(docs: DataFrame, per_source: DataFrame, few: bool) -> DataFrame:
+    # Rows of one key are one unit, within the sum up to it.
+    upto = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "check"))
+    unit = F.sum("size").over(Window.partitionBy("source", "rank", "doc_id", "check"))
+    beyond = inside.withColumns({"upto": upto, "unit": unit}).where("upto > rest").groupBy("source")
+    state = cut(beyond.agg(F.min(F.struct("key", (F.col("rest") - F.col("upto") + F.col("unit")).alias("gap"))).alias("x")).select("source", "x.*"))
+    return cut(_with_source(total, state, "key", few=few, how="left")), few, _fill(drawn, state, few)
+
+
+def _fill(drawn: DataFrame, state: DataFrame, few: bool) -> DataFrame:
+    """source, doc_id, check of what goes into the gaps, the largest that fits first."""
+    units = _with_source(drawn, state, F.col("b.key").alias("from"), "gap", few=few).where("key >= from and size <= gap")
+    units = units.groupBy("source", "key").agg(F.sum("size").alias("size"), F.max("gap").alias("gap")).where("size <= gap")
+    sizes = units.groupBy("source", "size").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).groupBy("source")
+    down = sizes.agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"), F.max("gap").alias("gap"))
+    start = F.struct(F.col("gap"), F.array().cast("array<struct<size:bigint,take:bigint>>").alias("taken"))
+
+    def step(s, x):
+        take = F.least(x["n"], F.floor(s["gap"] / x["size"])).cast("long")
+        more = F.concat(s["taken"], F.array(F.struct(x["size"].alias("size"), take.alias("take"))))
+        return F.when(x["size"] <= s["gap"], F.struct((s["gap"] - take * x["size"]).alias("gap"), more.alias("taken"))).otherwise(s)
+
+    plan = cut(down.select("source", F.inline(F.aggregate("sizes", start, step, lambda s: s["taken"]))))
+    most = plan.agg(F.max("take")).first()[0] or 0
+    # A constant limit cuts each task's rows before they are shuffled.
+    place = F.row_number().over(Window.partitionBy("source", "size").orderBy("key"))
+    first = units.withColumn("place", place).where(F.col("place") <= most).alias("a")
+    found = first.join(plan.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("place") <= F.col("take")))
+    return if_few(found.select("a.source", "key.doc_id", "key.check"), BROADCAST_ROWS)
+
+
+def _decided(docs: DataFrame, per_source: DataFrame, few: bool, beyond: DataFrame) -> DataFrame:
     """Adds source_size, target, copies (0 for size 0) to columns m_ and those of ``docs``; no
-    row moves, as the table of sources is broadcast."""
-    got = _with_source(docs.withColumn("source_", F.col("m_.source")), per_source, "source_size", "target", F.col("b.copies").alias("whole"), "f", F.col("b.key").alias("from"), "more", few=few, source="source_")
+    row moves where the tables of sources and of documents drawn beyond are broadcast."""
+    got = _with_source(docs.withColumn("source_", F.col("m_.source")), per_source, "source_size", "target", F.col("b.copies").alias("whole"), "f", F.col("b.key").alias("from"), few=few, source="source_")
+    same = [F.col(f"a.m_.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("source", "doc_id", "check")]
+    got = got.alias("a").join(beyond.withColumn("more_", F.lit(True)).alias("c"), same, "left").select("a.*", "more_")
     got = got.withColumn("u", F.col("m_.u"))
     key = F.struct(_rank().alias("rank"), F.col("m_.doc_id").alias("doc_id"), F.col("m_.check").alias("check"))
-    once = (F.col("f") > 0) & (F.col("from").isNull() | (key < F.col("from")) | F.array_contains("more", key))
+    once = (F.col("f") > 0) & (F.col("from").isNull() | (key < F.col("from")) | F.coalesce("more_", F.lit(False)))
     return got.withColumn("copies_", F.when(F.col("m_.size") > 0, F.col("whole") + F.coalesce(once, F.lit(False)).cast("long")).otherwise(0).cast("int"))
 
 
