@@ -7,7 +7,9 @@ sizes of a pair over the size of the text, summed over the pairs, is the measure
 curve fitted on other training rows turns it into a probability.
 
 Only ``sample`` labelled documents, chosen by the hash of their ids, are used to fit: of these
-a quarter calibrates and the rest fill the dictionaries.  Held-out rows are never used.
+a quarter calibrates and of the rest at most PAIRS * SAMPLE_TEXTS of each class fill the
+dictionaries, each with at most SAMPLE_BYTES in blocks from all over its text, chosen by the
+hash of id and block.  Held-out rows are never used.
 
 Defined cases: a null or empty text has measure 0 and the score that belongs to it; unusable
 labels are left out; without labels of both classes every score is the share of good labels
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -79,12 +82,19 @@ def _precomputed(data: bytes):
     return d
 
 
-def dictionary(texts: list[str]) -> bytes:
-    """A dictionary from texts; raw content where there is too little to train one, and one
-    byte where there is nothing at all."""
+def blocks(doc_id: int | None, text: str | None) -> list[bytes]:
+    """Blocks from all over a text, in order: those of the lowest hashes of id and number."""
+    data = (text or "").encode()
+    order = sorted(range(-(-len(data) // BLOCK)), key=lambda k: (crc32(f"{doc_id}:{k}".encode()), k))
+    return [data[k * BLOCK : (k + 1) * BLOCK] for k in sorted(order[: SAMPLE_BYTES // BLOCK])]
+
+
+def dictionary(texts: list[list[bytes]]) -> bytes:
+    """A dictionary from texts' blocks; raw content where there is too little to train one, and
+    one byte where there is nothing at all."""
     import zstandard as z
 
-    parts = [d[k : k + BLOCK] for d in (t.encode()[:SAMPLE_BYTES] for t in texts) for k in range(0, len(d), BLOCK)]
+    parts = [part for t in texts for part in t]
     try:
         return z.train_dictionary(min(DICTIONARY, max(256, sum(map(len, parts)) // 8)), parts, level=LEVEL).as_bytes()
     except z.ZstdError:
@@ -98,9 +108,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         p = min(max((share.get(1, 0) / sum(share.values())) if share else 0.5, 1e-9), 1 - 1e-9)
         return Model([], curve=np.array([np.log(p / (1 - p)), 0.0]))
 
-    def texts(y: int) -> list[str]:
-        chosen = rows.where((F.col("part") > 0) & (F.col("y") == y)).withColumn("text", F.substring("text", 1, SAMPLE_BYTES))
-        return [r.text or "" for r in chosen.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(PAIRS * SAMPLE_TEXTS).select("doc_id", "text").collect()]
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [blocks(i.as_py(), t.as_py()) for i, t in zip(b.column(0), b.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.binary()))], names=["doc_id", "parts"])
+
+    def texts(y: int) -> list[list[bytes]]:
+        chosen = rows.where((F.col("part") > 0) & (F.col("y") == y)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        chosen = chosen.mapInArrow(cut_up, "doc_id long, parts array<binary>")
+        return [list(map(bytes, r.parts)) for r in chosen.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(PAIRS * SAMPLE_TEXTS).collect()]
 
     good, bad = texts(1), texts(0)
     n = max(1, min(PAIRS, len(good), len(bad)))
