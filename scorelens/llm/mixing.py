@@ -11,19 +11,23 @@ its shortest document not drawn.  How many of which size go in follows from coun
 The order is found without sorting a source in one task: the rank is cut into 1,024 bins, the
 bin that crosses the target into 1,024 again, and only the rows of that one are sorted.
 
-Defined cases: null text has size 0; documents of size 0 take 0; null is the last source; rows
-that repeat id and text are taken or left together; random numbers come from md5 of the id and
-the seed (null: of the text 'null'), so reruns agree.
+Defined cases: null and empty texts have size 0, and documents of size 0 take 0; a very long
+text takes memory of its own size only; null is the last source; rows that repeat id and text
+are taken or left together; of equal ranks the smaller (id, hash of the text) comes first, a null
+id being the smallest; random numbers come from md5 of the id and the seed (null: of the text
+'null'), so reruns agree; an empty table gives an empty result; further columns are carried along
+by ``mixed`` whatever their names, and left out by ``mix``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, if_few
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
+AROUND = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 BINS = 1024
 
 
@@ -51,19 +55,25 @@ def targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
     return first.select("source", "source_size", F.when(F.col("k") >= F.col("at"), shared).otherwise(F.col("limit")).cast("double").alias("target"))
 
 
-def _sized(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``docs`` with what the decision on a row needs, in columns of a struct ``m_``."""
+def count_words(text: Column) -> Column:
+    """Words of a text.  Each, with the white space around it, becomes one character; no list of
+    words is made, so a text takes no more memory than itself."""
+    return F.when(has_words(text), F.length(F.regexp_replace(text, AROUND, "x"))).otherwise(0).cast("long")
+
+
+def has_words(text: Column) -> Column:
+    return F.coalesce(text.rlike(WORD), F.lit(False))
+
+
+def _facts(seed: str, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """What the decision on a row needs besides its size."""
     hashed = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10)
-    return docs.withColumn(
-        "m_",
-        F.struct(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-            ((hashed.cast("long") + F.lit(0.5)) / F.lit(float(2**52))).alias("u"),
-            F.xxhash64(text_col).alias("check"),
-        ),
-    )
+    return [
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        ((hashed.cast("long") + F.lit(0.5)) / F.lit(float(2**52))).alias("u"),
+        F.xxhash64(text_col).alias("check"),
+    ]
 
 
 def _with_source(left: DataFrame, right: DataFrame, *columns, few: bool, how: str = "inner", source: str = "source") -> DataFrame:
@@ -131,28 +141,31 @@ def _fill(drawn: DataFrame, state: DataFrame, few: bool) -> DataFrame:
     return if_few(found.select("a.source", "key.doc_id", "key.check"), BROADCAST_ROWS)
 
 
-def _decided(docs: DataFrame, per_source: DataFrame, few: bool, beyond: DataFrame) -> DataFrame:
-    """Adds source_size, target, copies (0 for size 0) to columns m_ and those of ``docs``; no
-    row moves where the tables of sources and of documents drawn beyond are broadcast."""
-    got = _with_source(docs.withColumn("source_", F.col("m_.source")), per_source, "source_size", "target", F.col("b.copies").alias("whole"), "f", F.col("b.key").alias("from"), few=few, source="source_")
-    same = [F.col(f"a.m_.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("source", "doc_id", "check")]
-    got = got.alias("a").join(beyond.withColumn("more_", F.lit(True)).alias("c"), same, "left").select("a.*", "more_")
-    got = got.withColumn("u", F.col("m_.u"))
-    key = F.struct(_rank().alias("rank"), F.col("m_.doc_id").alias("doc_id"), F.col("m_.check").alias("check"))
-    once = (F.col("f") > 0) & (F.col("from").isNull() | (key < F.col("from")) | F.coalesce("more_", F.lit(False)))
-    return got.withColumn("copies_", F.when(F.col("m_.size") > 0, F.col("whole") + F.coalesce(once, F.lit(False)).cast("long")).otherwise(0).cast("int"))
+def _decided(rows: DataFrame, per_source: DataFrame, few: bool, beyond: DataFrame) -> DataFrame:
+    """Adds source_size, target, copies (0 for size 0) to rows with doc_id, source, u, check and
+    ``some`` (whether the size is over 0); no row moves where the tables of sources and of
+    documents drawn beyond are broadcast."""
+    got = _with_source(rows, per_source, "source_size", "target", F.col("b.copies").alias("whole"), "f", F.col("b.key").alias("from"), few=few)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("source", "doc_id", "check")]
+    got = got.alias("a").join(beyond.withColumn("more", F.lit(True)).alias("c"), same, "left").select("a.*", "more")
+    key = F.struct(_rank().alias("rank"), "doc_id", "check")
+    once = (F.col("f") > 0) & (F.col("from").isNull() | (key < F.col("from")) | F.coalesce("more", F.lit(False)))
+    return got.withColumn("copies", F.when(F.col("some"), F.col("whole") + F.coalesce(once, F.lit(False)).cast("long")).otherwise(0).cast("int"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies."""
-    rows = cut(_sized(docs, seed, id_col, text_col, source_col).select("m_"))
-    out = _decided(rows, *_decisions(rows.select("m_.*"), weights, most))
-    return out.select("m_.doc_id", "m_.size", "source_size", "target", (F.col("m_.size") * F.col("copies_")).alias("taken"), F.col("copies_").alias("copies"))
+    rows = cut(docs.select(*_facts(seed, id_col, text_col, source_col), count_words(F.col(text_col)).alias("size")))
+    out = _decided(rows.withColumn("some", F.col("size") > 0), *_decisions(rows, weights, most))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` itself with each row as often as the mix takes it.  Texts are not shuffled."""
-    sized = _sized(docs, seed, id_col, text_col, source_col)
-    out = _decided(sized, *_decisions(cut(sized.select("m_.*")), weights, most))
-    out = out.where("copies_ > 0").withColumn("nth_", F.explode(F.sequence(F.lit(1), F.col("copies_"))))
-    return out.select(*docs.columns)
+    """``docs`` itself with each row as often as the mix takes it.  Texts are not shuffled, and
+    their words are counted once; the rows of ``docs`` travel in one struct, so that no name of
+    theirs can meet one used here."""
+    facts = _facts(seed, id_col, text_col, source_col)
+    sizes = cut(docs.select(*facts, count_words(F.col(text_col)).alias("size")))
+    rows = docs.select(F.struct("*").alias("row"), *facts, has_words(F.col(text_col)).alias("some"))
+    out = _decided(rows, *_decisions(sizes, weights, most)).where("copies > 0")
+    return out.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
