@@ -1,24 +1,39 @@
 """Toxicity by weak supervision.
 
-Voters: lexicons (words) and patterns (word beginnings) that are far commoner in toxic training
-documents, dealt to many voters by turns.  Each feature counts once for a document.  A generative label model treats the true class as
-hidden: for each voter it estimates the rate of votes in either class, and within the classes
-the correlations of voters, by which the voices of voters that say the same are weakened.  The
-given label is one more voter, of fixed accuracy.  A linear classifier is trained on the
-posterior labels, over the voters' hits, and scores every document.
+Voters answer for, against or not at all:
+
+- lexicons written down here, by language and kind of insult, and patterns written down here
+  (insults that are spelt with signs, stretched, in capitals, or aimed at the reader) are for a
+  text or silent;
+- prefix patterns induced from labelled rows, for languages and words without a list: the
+  word beginnings that cover the most toxic rows not covered yet, while nearly all rows that
+  have them are toxic and LEAST_SUPPORT more rows are covered.  They are for a text or silent; a
+  beginning counts only where one in DENSE distinct words has it;
+- quiet voters: for each language, against texts in it (as function words show) in which no
+  lexicon or written pattern is found; and one against texts in which no voter finds anything.
+
+A generative label model sees the votes alone and no label.  It treats the class as hidden and
+estimates, for each voter, how often it is for and against in either class, and the
+correlations of voters inside the classes, by which voters that say the same are weakened.  A
+linear classifier over the voters' hits is trained on its posterior labels.  Given labels serve
+to induce prefixes (one part of the training rows) and to calibrate the score (the other).
 
 Only ``sample`` labelled documents, chosen by the hash of their ids, are used to fit; held-out
 rows (see ``common.held_out``) never are.  Of training documents that share their smallest
 hash of five-word shingles one counts, as copies would make all their words look toxic.
 
-Defined cases: a null or empty text has no hits and gets the score that belongs to none; labels
-that are null, or of no document, are not used; without labels of both classes every score is
-the share of toxic labels (0 without any); repeated rows give repeated rows.
+Defined cases: a null or empty text has no hits and gets the score that belongs to none; the words of
+a very long text are gathered in parts; labels that are null, or of no document, are not used, and of an
+id's labels the largest counts; without labels of both classes every score is the share of toxic
+labels (0 without any); equal texts get equal scores; repeated rows give repeated rows; an empty
+table gives an empty result; further columns are carried along by ``drop_toxic`` whatever their
+names, and left out by ``toxicity``.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,73 +47,196 @@ from .common import cut, held_out
 
 SAMPLE = 12_000
 STEMS = (4, 5, 6)
-FEATURES = 800
-VOTERS = 24
 LEAST_SUPPORT = 4
-LABEL_ACCURACY = 0.98
+#: Of the rows with an induced prefix, the share that is toxic at least; prefixes at most.
+PURITY, INDUCED = 0.9, 200
+#: Distinct words from which a voter speaks against a text, function words of a language, and
+#: distinct words of a text for one that has an induced beginning.
+SPOKEN, FUNCTION, DENSE = 12, 3, 100
+#: How sure a voter that is for a row is taken to be.
+BELIEF = 0.95
+#: Characters of a text that are read at once.
+PART = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
+#: Lexicons: language, then kind.  Words that are common in another sense or language are left out.
+LEXICONS = {
+    "en": {
+        "mind": "idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass imbecile cretin dimwit halfwit nitwit brainless braindead simpleton retard retarded dunce",
+        "worth": "worthless pathetic loser losers useless failure wretch wretched nobody spineless coward cowardly parasite leech waster deadbeat",
+        "dirt": "trash garbage scum scumbag filthy vermin swine sewage dirtbag sleazebag maggot",
+        "disgust": "disgusting revolting repulsive nauseating sickening despicable loathsome hideous",
+        "mockery": "clown clowns buffoon freak weirdo creep creepy laughable ridiculous dork douche douchebag crybaby",
+        "abuse": "bastard bastards bitches asshole assholes arsehole wanker prick slut whore crappy bullshit fuck fucking fucker shitty",
+    },
+    "fr": {"insult": "idiot idiote idiots imbécile imbéciles crétin crétine débile abruti abrutie connard connasse salaud salope ordure minable minables pourriture dégoûtant dégoûtante racaille bouffon merde putain"},
+    "de": {"insult": "idiot idioten vollidiot trottel dummkopf depp arschloch abschaum versager widerlich ekelhaft wertlos erbärmlich drecksack miststück schwachkopf scheiße dumm blöd"},
+    "es": {"insult": "idiota idiotas imbécil imbéciles estúpido estúpida basura asqueroso asquerosa inútil inútiles escoria payaso payasa patético patética perdedor perdedora cabrón mierda puta tonto"},
+}
+#: Function words by which a text's language is told.
+FUNCTION_WORDS = {
+    "en": "the of and to in is that with for was on are as it this be",
+    "fr": "le la les des et dans pour que est une du au sur par",
+    "de": "der die und das den ist nicht mit von dem auf für sich ein",
+    "es": "el los las del que en por una con para su es al",
+}
+#: Patterns over a whole text.  Signs and digits in the place of letters; letters three times;
+#: capitals; threats; the reader addressed.
+PATTERNS = {
+    "masked": r"(?i)(?<!\w)(?=\w*[0-9!*@])(?:[i1!]d[i1!*][o0*][t7]|m[o0*]r[o0*]n|st[u*]p[i1!*]d|l[o0*]s[e3*]r|[t7]r[a@4*]sh|f[u*]ck|sh[i1!*]t|b[i1!*]tch)(?!\w)",
+    "stretched": r"(?i)(?<!\w)(?:idi+o{3,}t|mor+o{3,}n|stu{3,}pid|lo{3,}ser|tra{3,}sh|pathe{3,}tic)(?!\w)",
+    "capitals": r"(?<!\w)(?:IDIOTS?|MORONS?|STUPID|LOSERS?|TRASH|SCUM|PATHETIC|WORTHLESS|DISGUSTING|CLOWNS?|GARBAGE)(?!\w)",
+    "threat": r"(?i)(?<!\w)(?:kill yourself|drop dead|i(?:'ll| will) (?:kill|hurt|beat) you|hope you die)(?!\w)",
+    "aimed": r"(?i)(?<!\w)you(?:'re| are|r)?(?: \w+){0,2} (?:idiots?|morons?|stupid|losers?|trash|scum|pathetic|worthless|disgusting|clowns?|garbage|useless)(?!\w)",
+}
+#: Patterns of which every match holds a word of a lexicon.
+PLAIN = ("capitals", "aimed")
+
+
+def parts(text: str) -> Iterator[str]:
+    """A text in parts of about PART characters, cut after white space."""
+    at = 0
+    while len(text) - at > PART:
+        end = next((k for k in range(at + PART, at, -1) if text[k].isspace()), at + PART)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def words_of(text: str | None) -> set[str]:
+    """The distinct words of a text in lower case."""
+    return set().union(*(WORD.findall(p.lower()) for p in parts(text or "")))
+
+
+def stems_of(words: set[str]) -> dict[str, int]:
+    """Beginnings of words, followed by '*', that enough words have, with their number."""
+    once = Counter(w[:n] + "*" for w in words for n in STEMS if len(w) > n)
+    return {x: n for x, n in once.items() if n * DENSE >= len(words)}
 
-def features(text: str | None) -> tuple[set[str], set[str]]:
-    """The distinct words of a text in lower case, and their beginnings followed by '*'."""
-    words = set(WORD.findall((text or "").lower()))
-    return words, {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+
+@dataclass
+class Voters:
+    """All voters: written lexicons, written patterns, induced prefixes, quiet ones."""
+
+    induced: list[str] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.lexicons = [frozenset(words.split()) for kinds in LEXICONS.values() for words in kinds.values()]
+        self.function = [frozenset(w.split()) for w in FUNCTION_WORDS.values()]
+        self.known = frozenset().union(*self.lexicons)
+        self.patterns = [(name, re.compile(p)) for name, p in PATTERNS.items()]
+        self.written = len(self.lexicons) + len(self.patterns)
+        self.place = {f: self.written + k for k, f in enumerate(self.induced)}
+
+    def of_patterns(self, text: str | None, words: set[str]) -> list[int]:
+        """Matches of each pattern.  Those of whole words of a lexicon need one among ``words``."""
+        plain = bool(words & self.known)
+        return [sum(1 for _ in p.finditer(text or "")) if plain or name not in PLAIN else 0 for name, p in self.patterns]
+
+    def hits(self, words: set[str], stems: dict[str, int], of_patterns: list[int]) -> np.ndarray:
+        """What each voter that can be for a text finds: distinct words of a lexicon or with a
+        prefix, and matches of a pattern."""
+        out = np.zeros(self.written + len(self.induced))
+        out[: len(self.lexicons)] = [len(words & own) for own in self.lexicons]
+        out[len(self.lexicons) : self.written] = of_patterns
+        for f in (self.place.keys() & words) | (self.place.keys() & stems.keys()):
+            out[self.place[f]] = stems.get(f, 1)
+        return out
+
+    def votes(self, words: set[str], hits: np.ndarray) -> np.ndarray:
+        """1 for, -1 against, 0 neither; those of quiet voters last."""
+        long, plain = len(words) >= SPOKEN, not hits[: self.written].any()
+        quiet = [long and plain and len(words & own) >= FUNCTION for own in self.function] + [long and not hits.any()]
+        return np.concatenate(((hits > 0).astype(np.int8), -np.array(quiet, np.int8)))
 
 
 @dataclass
 class Model:
-    """voter: feature -> number of its voter.  weights: bias, one per voter, all hits."""
+    """weights: bias, one per voter, all hits; curve: bias and slope of the calibration."""
 
-    voter: dict[str, int]
+    voters: Voters
     weights: np.ndarray
+    curve: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     rates: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
     correlations: np.ndarray = field(default_factory=lambda: np.zeros((2, 0, 0)))
 
-    def inputs(self, hits: list[list[int]]) -> np.ndarray:
-        n = len(self.weights) - 2
-        x = np.zeros((len(hits), n + 2))
-        x[:, 0] = 1
-        for row, own in zip(x, hits, strict=True):
-            for v in own:
-                row[1 + v] += 1
-            row[-1] = len(own)
-        x[:, 1:] = np.log1p(x[:, 1:])
-        return x
-
-    def hits(self, text: str | None) -> list[int]:
-        """The voter of each feature that the text has."""
-        words, stems = features(text)
-        return [self.voter[f] for f in (self.voter.keys() & words) | (self.voter.keys() & stems)]
+    def logit(self, hits: np.ndarray) -> np.ndarray:
+        return inputs(hits) @ self.weights
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        z = self.inputs([self.hits(t) for t in texts]) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior, rates, correlations) for 0/1 votes.  rates[j]: share of votes of voter j in
-    class 0 and 1; correlations[c]: of the voters inside class c."""
+        if not len(self.weights):
+            return np.full(len(texts), 1 / (1 + np.exp(-self.curve[0])))
+        hits = np.zeros((len(texts), self.voters.written + len(self.voters.induced)))
+        for row, text in zip(hits, texts, strict=True):
+            words = words_of(text)
+            row[:] = self.voters.hits(words, stems_of(words) if self.voters.induced else {}, self.voters.of_patterns(text, words))
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * self.logit(hits), -30, 30)))
+
+
+def inputs(hits: np.ndarray) -> np.ndarray:
+    """Bias, the logarithm of each voter's hits, and that of all."""
+    return np.hstack((np.ones((len(hits), 1)), np.log1p(hits), np.log1p(hits.sum(1, keepdims=True))))
+
+
+def label_model(votes: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior, rates, correlations) from votes of 1, -1 and 0.  rates[j]: the share of rows
+    that voter j answers, in class 0 and in class 1 (its answers are taken to be right no less
+    often than by chance); correlations[c]: of the votes inside class c.
+
+    Expectation and maximisation.  What is believed before (a row that any voter is for is of
+    class 1 with BELIEF) has half the say in each estimate, as a voter that is alone in its rows
+    tells nothing about itself.  No answer says nothing.
+    An answer's weight falls with those of other voters for the same row that are alike and
+    correlated with it.
+    """
     n, m = votes.shape
-    anchor = np.where(gold == 1, 1, -1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    post, rates, corr = np.where(gold == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY), np.zeros((m, 2)), np.zeros((2, m, m))
+    v, sign = votes.astype(float), np.where((votes < 0).any(0), -1.0, 1.0)
+    said = np.abs(v)
+    before, rates, corr = np.where((votes > 0).any(1), BELIEF, 1 - BELIEF), np.zeros((m, 2)), np.zeros((2, m, m))
+    post = before
     for _ in range(rounds):
-        voice = np.ones((2, m))
-        for c, p in enumerate((1 - post, post)):
+        belief = (post + before) / 2
+        for c, p in enumerate((1 - belief, belief)):
             total = p.sum() + 1e-9
-            rates[:, c] = (p @ votes + 0.5) / (total + 1)
-            apart = votes - rates[:, c]
+            rates[:, c] = (p @ said + 0.5) / (total + 1)
+            apart = said - rates[:, c]
             cov = (apart * p[:, None]).T @ apart / total
             dev = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
             corr[c] = cov / dev / dev[:, None]
-            voice[c] = 1 / (1 + (np.clip(corr[c], 0, 1).sum(1) - np.clip(np.diag(corr[c]), 0, 1)))
-        weight = voice.mean(0)
-        said = np.log(rates[:, 1] / rates[:, 0]) * weight
-        silent = np.log((1 - rates[:, 1]) / (1 - rates[:, 0])) * weight
-        prior = np.log(post.mean() / (1 - post.mean()))
-        post = 1 / (1 + np.exp(-np.clip(prior + votes @ said + (1 - votes) @ silent + anchor, -30, 30)))
+        alike = np.clip(corr.mean(0), 0, 1) * (1 - np.eye(m)) * (sign[:, None] == sign)
+        odds = sign * np.maximum(0, sign * np.log(rates[:, 1] / rates[:, 0]))
+        share = np.clip(post.mean(), 0.001, 0.5)
+        post = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + (said / (1 + said @ alike)) @ odds, -30, 30)))
     return post, rates, corr
 
 
+def induce(rows: list[tuple[int, set[str]]], known: frozenset[str]) -> list[str]:
+    """Words and beginnings from rows of (label, features) that cover toxic rows which none of
+    ``known`` covers."""
+    toxic = [f for y, f in rows if y and not f & known]
+    total, good, where = Counter(), Counter(), defaultdict(set)
+    wanted = Counter(x for f in toxic for x in f)
+    wanted = {x for x, n in wanted.items() if n >= LEAST_SUPPORT}
+    for y, f in rows:
+        for x in f & wanted:
+            total[x] += 1
+            good[x] += y
+    for k, f in enumerate(toxic):
+        for x in f & wanted:
+            if good[x] >= PURITY * total[x]:
+                where[x].add(k)
+    out: list[str] = []
+    while where and len(out) < INDUCED:
+        # Of equal covers the longer beginning, which says more, then the first by name.
+        best = max(where, key=lambda x: (len(where[x]), good[x], len(x), x))
+        if len(where[best]) < LEAST_SUPPORT:
+            break
+        out.append(best)
+        done = set(where[best])
+        where = {x: left for x, own in where.items() if (left := own - done)}
+    return out
+
+
 def linear(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 40) -> np.ndarray:
     """Weights of a logistic regression on soft labels, by Newton steps; the bias is free."""
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
@@ -122,6 +260,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+    """The driver gets the features of the sampled rows only: at most ``sample`` of them, each
+    with the words and beginnings that occur in LEAST_SUPPORT toxic rows."""
+    written = Voters()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -130,32 +272,44 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for doc_id, text, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 w = (text or "").encode().lower().split()
                 sign = min(xxhash.xxh3_64_intdigest(b" ".join(w[k : k + 5])) for k in range(max(1, len(w) - 4))) >> 1
-                words, stems = features(text)
-                out.append((doc_id, y, sign, sorted(words | stems)))
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.string()))], names=["doc_id", "y", "sign", "f"])
-
-    rows = training_rows(docs, labels, label_col, id_col, text_col, sample).mapInArrow(run, "doc_id long, y int, sign long, f array<string>")
+                words = words_of(text)
+                hits = written.hits(words, {}, written.of_patterns(text, words))
+                out.append((doc_id, y, sign, sorted(words | stems_of(words).keys()), hits.astype(int).tolist()))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "y", "sign", "f", "hits"])
+
+    rows = training_rows(docs, labels, label_col, id_col, text_col, sample).mapInArrow(run, "doc_id long, y int, sign long, f array<string>, hits array<int>")
     rows = cut(rows.withColumn("nth", F.row_number().over(Window.partitionBy("sign", "y").orderBy("doc_id"))).where("nth = 1").drop("nth", "sign"))
-    size = rows.groupBy("y").count().collect()
-    n = {r[0]: r[1] for r in size}
+    n = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     if len(n) < 2:
         share = min(max(n.get(1, 0) / max(1, sum(n.values())), 1e-9), 1 - 1e-9) if n else 1e-9
-        return Model({}, np.array([np.log(share / (1 - share)), 0.0]))
-    counted = rows.select("y", F.explode("f").alias("feature")).groupBy("feature").agg(F.sum("y").alias("p"), F.count_if(F.col("y") == 0).alias("q"))
-    odds = F.log((F.col("p") + 0.5) / (n[1] + 1)) - F.log((F.col("q") + 0.5) / (n[0] + 1))
-    top = counted.where(F.col("p") >= min(LEAST_SUPPORT, n[1])).withColumn("odds", odds).where("odds > 3").orderBy(F.desc("odds"), "feature").limit(FEATURES).collect()
-    words, stems = ([r.feature for r in top if r.feature.endswith("*") == s] for s in (False, True))
-    voter = {f: k % VOTERS for k, f in enumerate(words)} | {f: VOTERS + k % VOTERS for k, f in enumerate(stems)}
-    model = Model(voter, np.zeros(2 * VOTERS + 2))
-    every = F.array(*map(F.lit, sorted(voter))) if voter else F.array().cast("array<string>")
-    got = rows.select("doc_id", "y", F.array_intersect("f", every).alias("f")).orderBy("doc_id").collect()
-    hits = [[voter[f] for f in r.f] for r in got]
-    gold = np.array([r.y for r in got])
-    x = model.inputs(hits)
-    votes = (x[:, 1:-1] > 0).astype(float)
-    post, model.rates, model.correlations = label_model(votes, gold)
-    model.weights = linear(x, post)
+        return Model(written, np.zeros(0), np.array([np.log(share / (1 - share)), 1.0]))
+    frequent = cut(rows.where("y = 1").select(F.explode("f").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SUPPORT).select("x"))
+    kept = rows.select("doc_id", F.explode("f").alias("x")).join(frequent, "x").groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("f"))
+    got = rows.select("doc_id", "y").join(kept, "doc_id", "left").select("*", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 0).alias("first")).orderBy("doc_id").collect()
+    features = [set(r.f or ()) for r in got]
+    voters = Voters(induce([(r.y, f) for r, f in zip(got, features, strict=True) if r["first"]], written.known))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, words, known = (c.to_pylist() for c in b.columns)
+            words = [{x for x in w if x[-1] != "*"} for w in words]
+            hits = [voters.hits(w, stems_of(w), k[len(written.lexicons) :]) for w, k in zip(words, known, strict=True)]
+            votes = [voters.votes(w, h).tolist() for w, h in zip(words, hits, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([h.astype(int).tolist() for h in hits], pa.list_(pa.int32())), pa.array(votes, pa.list_(pa.int32()))], names=["doc_id", "hits", "votes"])
+
+    every = rows.select("doc_id", "f", "hits").mapInArrow(again, "doc_id long, hits array<int>, votes array<int>").orderBy("doc_id").collect()
+    hits, votes = (np.array([r[k] for r in every], dtype=float) for k in ("hits", "votes"))
+    post, rates, correlations = label_model(votes)
+    model = Model(voters, linear(inputs(hits), post), rates=rates, correlations=correlations)
+    rest = np.array([not r["first"] for r in got])
+    y = np.array([float(r.y) for r in got])
+    if 0 < y[rest].sum() < rest.sum():
+        z = model.logit(hits[rest])
+        model.curve = linear(np.stack((np.ones(len(z)), z), 1), y[rest], penalty=0.01)
+        if model.curve[1] <= 0:
+            model.curve = np.array([0.0, 1.0])
     return model
 
 
@@ -177,6 +331,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``threshold``."""
-    scored = score(docs, fit(docs, labels, id_col, text_col, **options), text_col, "toxicity_")
-    return scored.where(F.col("toxicity_") < threshold).select(*docs.columns)
+    """``docs`` without the rows whose score reaches ``threshold``; its rows travel in one struct,
+    so that no name of theirs can meet one used here."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    return score(rows, fit(docs, labels, id_col, text_col, **options)).where(F.col("score") < threshold).select("row.*")

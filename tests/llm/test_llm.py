@@ -322,14 +322,18 @@ def test_quality_held_out(spark):
 
 
 def test_label_model_weakens_echoes():
-    """Ten voters that always say the same weigh less than as many that are independent."""
+    """Ten voters that always say the same weigh little more than one of them."""
     r = np.random.default_rng(0)
-    y = r.random(2000) < 0.3
-    alone = (r.random((2000, 3)) < np.where(y, 0.8, 0.1)[:, None]).astype(float)
-    echo = np.repeat((r.random(2000) < np.where(y, 0.6, 0.3))[:, None].astype(float), 10, 1)
-    post, rates, corr = toxicity.label_model(np.hstack((alone, echo)), y.astype(int))
-    assert corr[0][3:, 3:].min() > 0.9 and abs(corr[0][0, 1]) < 0.2
-    assert abs(rates[0, 1] - 0.8) < 0.1 and ((post > 0.5) == y).mean() > 0.95
+    y = r.random(4000) < 0.3
+    alone = (r.random((4000, 3)) < np.where(y, 0.8, 0.01)[:, None]).astype(np.int8)
+    echo = (r.random(4000) < np.where(y, 0.5, 0.05))[:, None].astype(np.int8)
+    odds = lambda p: np.log(p / (1 - p))
+    many, rates, corr = toxicity.label_model(np.hstack((alone, np.repeat(echo, 10, 1))))
+    one, *_ = toxicity.label_model(np.hstack((alone, echo)))
+    only = (echo[:, 0] == 1) & ~alone.any(1)
+    assert corr[0][3:, 3:].min() > 0.9 and abs(corr[0][0, 1]) < 0.3
+    assert abs(odds(many[only]).mean() - odds(one[only]).mean()) < 0.5
+    assert rates[0, 1] > 10 * rates[0, 0] and ((many > 0.5) == y).mean() > 0.9
 
 
 @pytest.mark.parametrize("operator, empty", [(toxicity.toxicity, 0.0), (quality.quality, 0.5)])
