@@ -10,6 +10,12 @@ rank among pieces of its length.
 2. The remainder is packed best-fit, longest first.
 
 Both work on runs of equal pieces: a step handles all copies that are alike.
+
+Defined cases: a null or empty text is the single id END; a null doc_id stays null; a very long
+text is cut into pieces like any other, and one with long white space goes through the slower of
+two libraries; rows that repeat an id or a text are packed as often as they occur; pieces of one
+length are interchangeable, and which of them lies where follows from a hash; an empty table
+gives an empty result; further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +33,11 @@ from .common import cut
 
 END = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-TOKENS_PER_BATCH = 2_000_000
+#: Rows of pieces that a task holds before it passes them on.
+ROWS = 100_000
+#: White space in a row from which a text is left to the exact library; the other one keeps a
+#: stack of it, which a million overflow.
+SPACES = 1_000
 
 Group = tuple[tuple[tuple[int, int], ...], int]
 
@@ -37,7 +47,8 @@ def tokenizer(path: str, ranks_path: str | None):
 
     Texts of characters below U+0250 take the same vocabulary from ``ranks_path`` through a
     faster library; for those both libraries agree on letters, digits and white space.  Any
-    other text, and one that holds a special token's string, goes through ``path`` itself.
+    other text, one that holds a special token's string or SPACES of white space in a row, and
+    one that the faster library fails on goes through ``path`` itself.
     """
     import base64
     import os
@@ -48,7 +59,7 @@ def tokenizer(path: str, ranks_path: str | None):
 
     exact = Tokenizer.from_file(path)
     special = [t.content for t in exact.get_added_tokens_decoder().values()]
-    odd = re.compile("|".join(["[^\\x00-ɏ]", *map(re.escape, special)]))
+    odd = re.compile("|".join(["[^\\x00-ɏ]", rf"[\t-\r \x85\xa0]{{{SPACES}}}", *map(re.escape, special)]))
     fast = None
     if ranks_path:
         import public_tokenizers
@@ -59,10 +70,15 @@ def tokenizer(path: str, ranks_path: str | None):
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> bytes:
-        if fast is None or odd.search(text):
+        ids = None
+        if fast is not None and not odd.search(text):
+            try:
+                ids = fast.encode_ordinary(text)
+            except BaseException as error:  # its panics are no Exceptions
+                if type(error).__name__ != "PanicException":
+                    raise
+        if ids is None:
             ids = exact.encode(text, add_special_tokens=False).ids
-        else:
-            ids = fast.encode_ordinary(text)
         ids.append(END)
         return np.asarray(ids, dtype="<u4").tobytes()
 
@@ -80,6 +96,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None,
     """One row per piece: doc_id, piece, start, length, ids_crc32.  A null text is empty and
     gives the single id END; a null id stays null."""
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else ((),) * 5
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(tokenizer_path, ranks_path)
         for batch in batches:
@@ -88,8 +109,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None,
                 ids = encode(text.as_py() or "")
                 for k, (start, length) in enumerate(cut_points(len(ids) // 4, capacity)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-            ids_, k_, s_, n_, c_ = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(k_, pa.int32()), pa.array(s_, pa.int64()), pa.array(n_, pa.int64()), pa.array(c_, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    if len(rows) == ROWS:
+                        yield made(rows)
+                        rows = []
+            yield made(rows)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
@@ -253,17 +276,18 @@ def pack(cuts: DataFrame, capacity: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to pieces (see ``pieces``), each at most ``capacity`` long.
 
     The pieces of one length are dealt to buckets, ranked inside each, and a bucket's first
-    rank is the sum of those before it: no task holds all pieces of a frequent length.  The
+    rank is the sum of those before it: no task holds all pieces of a frequent length, nor all
+    rows of an id, as the bucket also follows from the ids' checksum and the input's part.  The
     plan that is sent to tasks has at most a few rows for each of ``capacity`` lengths.
     """
     spark = cuts.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = cut(cuts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)).cast("int")))
+    cuts = cut(cuts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.spark_partition_id()), F.lit(buckets)).cast("int")))
     counted = cut(cuts.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")))
     histogram = {int(r[0]): int(r[1]) for r in counted.groupBy("length").agg(F.sum("n")).collect()}
     where = places(plan(histogram, capacity))
     before = counted.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
-    ranked = cuts.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1)
+    ranked = cuts.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "bucket"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).cast("long").alias("rank"))
     sent = spark.sparkContext.broadcast(where)
 
