@@ -15,17 +15,21 @@ fingerprints:
 Stars of all nodes are joined by alternating large-star and small-star steps.
 
 Defined cases: null text is empty; a text without words has fingerprint zero, which links like
-any other; rows repeated give rows repeated; a component's id is its smallest doc_id that is
-not null (null only if all are).
+any other; a very long text is read in parts; rows repeated give rows repeated; a component's id
+is its smallest doc_id that is not null (null only if all are); an empty table gives an empty
+result.  ``drop_near_duplicates`` keeps one row of each component: of its smallest id (null last),
+if that repeats with different texts the one of the smallest hash, and one of rows that repeat id
+and text; further columns are carried along whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, if_few
@@ -37,40 +41,66 @@ LEVELS = 4
 #: Pairs of nodes handled at once, and rows gathered before a search begins.
 PAIRS = 20_000
 ROWS = 200_000
-#: Ids to take out that may be broadcast (16 MB).
+#: Bytes of a text whose words are held at once, and what lies between words.
+PART = 1 << 20
+SPACE = re.compile(rb"[ \t-\r]")
+#: Rows to take out that may be broadcast (24 MB).
 BROADCAST_GONE = 1_000_000
+#: A fingerprint with more than one in HOT rows is joined by broadcast; there are fewer than HOT.
+HOT = 512
+
+
+def _parts(data: bytes) -> Iterator[bytes]:
+    """A text in parts of about PART bytes, cut at white space."""
+    at = 0
+    while len(data) - at > PART:
+        cut_at = SPACE.search(data, at + PART)
+        end = cut_at.start() if cut_at else len(data)
+        yield data[at:end]
+        at = end
+    yield data[at:]
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
-    """The majority of the bits of XXH64 over shingles, as an unsigned number."""
+    """The majority of the bits of XXH64 over shingles, as an unsigned number.  Of a long text
+    one part's words are held at a time, and the last ones of the part before."""
     import xxhash
 
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return 0
-    if len(parts) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), SEED)
-    line = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_digest
-    data = b"".join([digest(line[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)])
-    n, count = len(data) // 8, np.zeros(64, np.int64)
-    rows = np.frombuffer(data, np.uint8).reshape(n, 8)
-    for k in range(0, n, 1 << 16):
-        count += np.unpackbits(rows[k : k + (1 << 16)], axis=1).sum(0, dtype=np.int64)
+    held: list[bytes] = []
+    n, count = 0, np.zeros(64, np.int64)
+    for part in _parts((text or "").encode().lower()):
+        held += part.split()
+        if len(held) < words:
+            continue
+        line = b" ".join(held)
+        ends = np.cumsum([len(w) + 1 for w in held]) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))[: len(held) - words + 1]
+        data = b"".join([digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)])
+        rows = np.frombuffer(data, np.uint8).reshape(-1, 8)
+        for k in range(0, len(rows), 1 << 16):
+            count += np.unpackbits(rows[k : k + (1 << 16)], axis=1).sum(0, dtype=np.int64)
+        n += len(rows)
+        held = held[len(held) - words + 1 :]
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(held), SEED) if held else 0
     return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+    """doc_id, fp (the fingerprint's 64 bits as a signed long), check (a hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], names=["doc_id", "fp", "check"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _check(F.col(text_col)).alias("check"))
+    return rows.mapInArrow(run, "doc_id long, fp long, check long")
+
+
+def _check(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def free_bits(path: int) -> np.ndarray:
@@ -274,12 +304,13 @@ def links(distinct: DataFrame, limit: int | None = None, radius: int = RADIUS) -
     return out
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(u, v): v is the smallest value that u is connected with, for each u that is not itself
-    the smallest.  Alternating large-star and small-star steps, each cut from its lineage."""
+    the smallest.  Alternating large-star and small-star steps, each cut from its lineage, until
+    nothing changes, which takes a number of steps of the order of the logarithm's square."""
     e = cut(edges.where("u > v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -290,25 +321,48 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             return e
         before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS, limit: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (hex), component_id."""
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS, limit: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, check, fp, and ``least``, the smallest (whether the
+    id is null, doc_id, check) of its component."""
     if radius > RADIUS:
         raise ValueError("four blocks find links of at most 3 differing bits")
     fps = cut(fingerprints(docs, id_col, text_col, words))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    distinct = cut(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "check")).alias("own"), F.count(F.lit(1)).alias("n")))
     root = connected(links(distinct, limit, radius))
     member = distinct.join(root.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = cut(member.join(least, "root").select("fp", "component_id"))
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = member.groupBy("root").agg(F.min("own").alias("least"))
+    of = cut(member.join(least, "root").select("fp", "least", "n"))
+    rows = of.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(of.where(F.col("n") * HOT > rows).drop("n"))
+    cold = fps.join(hot.select("fp"), "fp", "left_anti").join(of.where(F.col("n") * HOT <= rows).drop("n"), "fp")
+    return fps.join(hot, "fp").unionByName(cold)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (hex), component_id."""
+    found = components(docs, id_col, text_col, **options)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component.  Rows of a null id stay
-    only where no id is known in their component; then all of them do."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = if_few(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_")).distinct(), BROADCAST_GONE)
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_")), "left_anti")
+    """``docs`` with one row of each component.
+
+    Rows are known by id and hash of the text.  Those that go are found first and taken out by
+    an anti-join, so that texts are shuffled only where the list of them is counted to be too
+    long to broadcast; rows that repeat id and text of one that stays are few and meet apart.
+    """
+    found = cut(components(docs, id_col, text_col, **options).select(F.col("doc_id").alias("i"), F.col("check").alias("c"), (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("check") == F.col("least.check"))).alias("stays")))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), _check(F.col(text_col)).alias("check"))
+
+    def match(t: DataFrame):
+        return rows["id"].eqNullSafe(t["i"]) & (rows["check"] == t["c"])
+
+    gone = if_few(found.where(~F.col("stays")).select("i", "c").distinct(), BROADCAST_GONE)
+    again = cut(found.where("stays").groupBy("i", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    kept = rows.join(gone, match(gone), "left_anti")
+    if again.isEmpty():
+        return kept.select("row.*")
+    once = rows.join(again, match(again), "left_semi").groupBy("id", "check").agg(F.first("row").alias("row"))
+    return kept.join(again, match(again), "left_anti").select("row.*").unionByName(once.select("row.*"))
