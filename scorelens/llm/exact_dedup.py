@@ -3,16 +3,18 @@
 A Misra-Gries style frequent-items sketch over digests (partial sketches per task, combined in
 two steps) proposes frequent digests.  Exact counts and a second hash of their texts verify
 them; the winners, at most ``heavy`` rows, are broadcast and their copies are resolved where
-they lie.  The other digests are shuffled in the ordinary way.
+they lie.  The other digests are shuffled in the ordinary way: counted by an aggregate that
+combines before it shuffles, and joined with their rows, so that no task must hold a group.
 
 Defined cases: null text counts as empty; of equal texts the largest doc_id stays, a null id
 being the smallest; a row that repeats both id and text is a further copy and exactly one of
-such rows stays; other columns are not looked at.
+such rows stays; texts of any length count as a whole; an empty table gives an empty result;
+further columns are not looked at, and carried along by ``drop_copies`` whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, if_few
@@ -58,8 +60,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heav
         .drop("verified")
     )
     hot = d.join(F.broadcast(winners), "digest")
-    same = Window.partitionBy("digest", "check", "bytes")
-    rest = d.join(F.broadcast(winners.select("digest")), "digest", "left_anti").withColumns({"group_size": F.count(F.lit(1)).over(same), "top": F.max(F.struct("doc_id", "rid")).over(same)})
+    rest = d.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    same = ["digest", "check", "bytes"]
+    copies = rest.groupBy(*same).agg(*one).where("group_size > 1")
+    alone = [F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce("top", F.struct("doc_id", "rid")).alias("top")]
+    rest = rest.join(copies, same, "left").select(*d.columns, *alone)
     return hot.unionByName(rest).select(
         "doc_id",
         F.col("top.doc_id").alias("keep_id"),
@@ -76,17 +81,15 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts are shuffled only where the list of them is counted to be too long to broadcast.  Rows that repeat
     id and text are few; they are brought together by themselves.
     """
-    marked = cut(groups(docs, id_col, text_col, **options))
-    key = {"id_": F.col(id_col), "digest_": F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)}
-    keyed = docs.withColumns(key)
+    marked = cut(groups(docs, id_col, text_col, **options).select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("d"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("last"), "kept"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("digest"))
 
     def match(t: DataFrame):
-        return keyed["id_"].eqNullSafe(t["i"]) & (keyed["digest_"] == t["d"])
+        return rows["id"].eqNullSafe(t["i"]) & (rows["digest"] == t["d"])
 
-    gone = marked.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("d"))
-    gone = if_few(gone, BROADCAST_GONE)
-    again = cut(marked.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("d")).distinct())
+    gone = if_few(marked.where(~F.col("last")).select("i", "d").distinct(), BROADCAST_GONE)
+    again = cut(marked.where(F.col("last") & ~F.col("kept")).select("i", "d").distinct())
     if again.isEmpty():
-        return keyed.join(gone, match(gone), "left_anti").select(*docs.columns)
-    once = keyed.join(again, match(again), "left_semi").dropDuplicates(["id_", "digest_"])
-    return keyed.join(gone, match(gone), "left_anti").join(again, match(again), "left_anti").unionByName(once).select(*docs.columns)
+        return rows.join(gone, match(gone), "left_anti").select("row.*")
+    once = rows.join(again, match(again), "left_semi").groupBy("id", "digest").agg(F.first("row").alias("row"))
+    return rows.join(gone, match(gone), "left_anti").join(again, match(again), "left_anti").select("row.*").unionByName(once.select("row.*"))
