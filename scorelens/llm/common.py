@@ -14,15 +14,15 @@ BROADCAST_ROWS = 50_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a temporary folder and a cluster a folder below
-    its warehouse, which is shared by definition.
+    Where it is unset, a local session gets a temporary folder; on a cluster that is an error,
+    as no other folder is known to be shared.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] == "local":
         return tempfile.mkdtemp(prefix="checkpoints-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
 def cut(df: DataFrame) -> DataFrame:
