@@ -272,24 +272,45 @@ def test_near_duplicates_of_nothing(spark):
 
 
 def brute_top_k(rows, k=20):
-    v = {i: [math.floor(64 * float(np.float32(x))) for x in e] for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)}
-    out = set()
-    for q in v:
-        if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=False)), c) for c in v if c != q)[:k]
-            out |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(scored)}
+    v = [(i, [math.floor(64 * float(np.float32(x))) for x in e]) for i, e in rows if e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    out = Counter()
+    for n, (q, a) in enumerate(v):
+        if q is not None and q % 20 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), c is None, c or 0) for m, (c, b) in enumerate(v) if m != n)[:k]
+            out.update((q, r + 1, None if unknown else c, -s) for r, (s, unknown, c) in enumerate(scored))
     return out
 
 
-@pytest.mark.parametrize("shard, block", [(16_384, 2_048), (70, 5)])
+@pytest.mark.parametrize("shard, block", [(16_384, 2_048), (70, 5), (7, 40)])
 def test_top_k(spark, shard, block):
     r = random.Random(3)
     rows = [(i, [r.choice([-1, 0, 1, 0.5]) * r.random() for _ in range(8)]) for i in range(400)]
     rows += [(1000 + i, rows[7][1]) for i in range(60)]
-    rows += [(2000, None), (2020, [None] * 8), (2040, [float("nan")] * 8), (2060, [float("inf")] * 8), (None, [1.0] * 8), (2080, [1.0])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
+    rows += [(2000, None), (2020, [None] * 8), (2040, [float("nan")] * 8), (2060, [float("inf")] * 8), (None, [1.0] * 8), (2080, [1.0]), (2100, [])]
+    rows += [(40, rows[40][1]), (40, rows[3][1]), (7, rows[8][1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("v", "row", "asks", "shard", "score")})
     got = topk_search.top_k(topk_search.scaled(vectors), F.col("vec_id") % 20 == 0, shard=shard, block=block)
-    assert {tuple(x) for x in got.collect()} == brute_top_k(rows)
+    assert Counter(tuple(x) for x in got.collect()) == brute_top_k(rows)
+
+
+@pytest.mark.parametrize("size", [5e6, 2.0**31, 2.0**24 * 3 + 1])
+def test_top_k_of_large_components(spark, size):
+    """Scores of more than 53 and of more than 62 bits, which the best ones need not have."""
+    r = random.Random(4)
+    rows = [(i, [r.choice([-1.0, 1.0]) * r.random() for _ in range(4)]) for i in range(200)]
+    rows += [(100 * i + 3, [size * r.random() for _ in range(4)]) for i in range(2, 30)] + [(7, [2.0**60, 0.0, 0.0, 0.0])]
+    rows = [(i, [float(np.float32(x)) for x in e]) for i, e in rows if i % 20 or e[0] < 0]
+    got = topk_search.top_k(topk_search.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), F.col("vec_id") % 20 == 0, shard=50)
+    assert Counter(tuple(x) for x in got.collect()) == brute_top_k(rows)
+
+
+def test_scores_beyond_a_long(spark):
+    rows = [(0, [2.0**100]), (1, [2.0**100]), (2, [-(2.0**100)])] + [(20 * k + 1, [0.0]) for k in range(1, 30)]
+    vectors = topk_search.scaled(spark.createDataFrame(rows[:1] + rows[2:], "vec_id long, embedding array<float>"))
+    got = topk_search.top_k(vectors, F.col("vec_id") % 20 == 0).collect()
+    assert [x.score for x in got] == [0] * 20 and 2 not in {x.vec_id for x in got}
+    with pytest.raises(Exception, match="does not fit"):
+        topk_search.top_k(topk_search.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), F.col("vec_id") % 20 == 0).collect()
 
 
 def test_top_k_of_few(spark):
