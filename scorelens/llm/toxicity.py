@@ -50,6 +50,8 @@ STEMS = (4, 5, 6)
 LEAST_SUPPORT = 4
 #: Of the rows with an induced prefix, the share that is toxic at least; prefixes at most.
 PURITY, INDUCED = 0.9, 200
+#: Words and beginnings that are pure enough and may be induced; the commonest.
+CANDIDATES = 2_000
 #: Distinct words from which a voter speaks against a text, function words of a language, and
 #: distinct words of a text for one that has an induced beginning.
 SPOKEN, FUNCTION, DENSE = 12, 3, 100
@@ -108,10 +110,10 @@ def words_of(text: str | None) -> set[str]:
     return set().union(*(WORD.findall(p.lower()) for p in parts(text or "")))
 
 
-def stems_of(words: set[str]) -> dict[str, int]:
-    """Beginnings of words, followed by '*', that enough words have, with their number."""
+def stems_of(words: set[str], of: int | None = None) -> dict[str, int]:
+    """Beginnings of words, followed by '*', that enough of ``of`` words have, with their number."""
     once = Counter(w[:n] + "*" for w in words for n in STEMS if len(w) > n)
-    return {x: n for x, n in once.items() if n * DENSE >= len(words)}
+    return {x: n for x, n in once.items() if n * DENSE >= (of or len(words))}
 
 
 @dataclass
@@ -127,6 +129,7 @@ class Voters:
         self.patterns = [(name, re.compile(p)) for name, p in PATTERNS.items()]
         self.written = len(self.lexicons) + len(self.patterns)
         self.place = {f: self.written + k for k, f in enumerate(self.induced)}
+        self.prefixes = tuple(f[:-1] for f in self.induced if f[-1] == "*")
 
     def of_patterns(self, text: str | None, words: set[str]) -> list[int]:
         """Matches of each pattern.  Those of whole words of a lexicon need one among ``words``."""
@@ -143,6 +146,10 @@ class Voters:
             out[self.place[f]] = stems.get(f, 1)
         return out
 
+    def stems(self, words: set[str]) -> dict[str, int]:
+        """What ``stems_of`` gives, of induced beginnings only."""
+        return stems_of({w for w in words if w.startswith(self.prefixes)}, len(words)) if self.prefixes else {}
+
     def votes(self, words: set[str], hits: np.ndarray) -> np.ndarray:
         """1 for, -1 against, 0 neither; those of quiet voters last."""
         long, plain = len(words) >= SPOKEN, not hits[: self.written].any()
@@ -169,7 +176,7 @@ class Model:
         hits = np.zeros((len(texts), self.voters.written + len(self.voters.induced)))
         for row, text in zip(hits, texts, strict=True):
             words = words_of(text)
-            row[:] = self.voters.hits(words, stems_of(words) if self.voters.induced else {}, self.voters.of_patterns(text, words))
+            row[:] = self.voters.hits(words, self.voters.stems(words), self.voters.of_patterns(text, words))
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * self.logit(hits), -30, 30)))
 
 
@@ -210,21 +217,13 @@ def label_model(votes: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.nda
     return post, rates, corr
 
 
-def induce(rows: list[tuple[int, set[str]]], known: frozenset[str]) -> list[str]:
-    """Words and beginnings from rows of (label, features) that cover toxic rows which none of
-    ``known`` covers."""
-    toxic = [f for y, f in rows if y and not f & known]
-    total, good, where = Counter(), Counter(), defaultdict(set)
-    wanted = Counter(x for f in toxic for x in f)
-    wanted = {x for x, n in wanted.items() if n >= LEAST_SUPPORT}
-    for y, f in rows:
-        for x in f & wanted:
-            total[x] += 1
-            good[x] += y
+def induce(toxic: list[set[str]], good: dict[str, int]) -> list[str]:
+    """Of ``good`` (words and beginnings, with the toxic rows that have them) those that cover
+    ``toxic`` rows, the most rows not covered yet first."""
+    where = defaultdict(set)
     for k, f in enumerate(toxic):
-        for x in f & wanted:
-            if good[x] >= PURITY * total[x]:
-                where[x].add(k)
+        for x in f & good.keys():
+            where[x].add(k)
     out: list[str] = []
     while where and len(out) < INDUCED:
         # Of equal covers the longer beginning, which says more, then the first by name.
@@ -260,8 +259,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """The driver gets the features of the sampled rows only: at most ``sample`` of them, each
-    with the words and beginnings that occur in LEAST_SUPPORT toxic rows."""
+    """The driver gets the votes of at most ``sample`` rows, and of the toxic ones that no lexicon
+    covers which of at most CANDIDATES words and beginnings they have."""
     written = Voters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,26 +284,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(n) < 2:
         share = min(max(n.get(1, 0) / max(1, sum(n.values())), 1e-9), 1 - 1e-9) if n else 1e-9
         return Model(written, np.zeros(0), np.array([np.log(share / (1 - share)), 1.0]))
-    frequent = cut(rows.where("y = 1").select(F.explode("f").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SUPPORT).select("x"))
-    kept = rows.select("doc_id", F.explode("f").alias("x")).join(frequent, "x").groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("f"))
-    got = rows.select("doc_id", "y").join(kept, "doc_id", "left").select("*", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 0).alias("first")).orderBy("doc_id").collect()
-    features = [set(r.f or ()) for r in got]
-    voters = Voters(induce([(r.y, f) for r, f in zip(got, features, strict=True) if r["first"]], written.known))
+    first = rows.withColumn("first", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 0)
+    counted = first.where("first").select("y", F.explode("f").alias("x")).groupBy("x").agg(F.sum("y").alias("good"), F.count(F.lit(1)).alias("n"))
+    good = {r.x: r.good for r in counted.where((F.col("good") >= LEAST_SUPPORT) & (F.col("good") >= PURITY * F.col("n"))).orderBy(F.desc("good"), "x").limit(CANDIDATES).collect()}
+    known = F.array(*map(F.lit, sorted(written.known)))
+    pure = F.array(*map(F.lit, sorted(good))) if good else F.array().cast("array<string>")
+    uncovered = first.where(F.col("first") & (F.col("y") == 1) & ~F.arrays_overlap("f", known)).orderBy("doc_id").select(F.array_intersect("f", pure).alias("f"))
+    voters = Voters(induce([set(r.f) for r in uncovered.collect()], good))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, words, known = (c.to_pylist() for c in b.columns)
             words = [{x for x in w if x[-1] != "*"} for w in words]
-            hits = [voters.hits(w, stems_of(w), k[len(written.lexicons) :]) for w, k in zip(words, known, strict=True)]
+            hits = [voters.hits(w, voters.stems(w), k[len(written.lexicons) :]) for w, k in zip(words, known, strict=True)]
             votes = [voters.votes(w, h).tolist() for w, h in zip(words, hits, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([h.astype(int).tolist() for h in hits], pa.list_(pa.int32())), pa.array(votes, pa.list_(pa.int32()))], names=["doc_id", "hits", "votes"])
 
-    every = rows.select("doc_id", "f", "hits").mapInArrow(again, "doc_id long, hits array<int>, votes array<int>").orderBy("doc_id").collect()
-    hits, votes = (np.array([r[k] for r in every], dtype=float) for k in ("hits", "votes"))
+    every = rows.select("doc_id", "f", "hits").mapInArrow(again, "doc_id long, hits array<int>, votes array<int>")
+    got = first.select("doc_id", "y", "first").join(every, "doc_id").orderBy("doc_id").toArrow()
+    hits, votes = (np.array(got[k].combine_chunks().flatten().to_numpy(), dtype=float).reshape(len(got), -1) for k in ("hits", "votes"))
     post, rates, correlations = label_model(votes)
     model = Model(voters, linear(inputs(hits), post), rates=rates, correlations=correlations)
-    rest = np.array([not r["first"] for r in got])
-    y = np.array([float(r.y) for r in got])
+    rest, y = ~got["first"].to_numpy(zero_copy_only=False).astype(bool), got["y"].to_numpy().astype(float)
     if 0 < y[rest].sum() < rest.sum():
         z = model.logit(hits[rest])
         model.curve = linear(np.stack((np.ones(len(z)), z), 1), y[rest], penalty=0.01)

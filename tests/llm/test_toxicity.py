@@ -44,7 +44,7 @@ def test_votes():
     seen = np.zeros(voters.written + 2)
     for t in texts(1, 400):
         words = T.words_of(t)
-        hits = voters.hits(words, T.stems_of(words), voters.of_patterns(t, words))
+        hits = voters.hits(words, voters.stems(words), voters.of_patterns(t, words))
         assert hits.tolist() == slow_hits(t, voters.induced)
         assert voters.votes(words, hits).tolist() == slow_votes(t, hits, voters.written)
         seen += hits > 0
@@ -107,14 +107,19 @@ def test_scores(spark):
     assert np.mean([(got[k] >= 0.5) == toxic[k] for k, _ in rows]) > 0.9
 
 
-def test_induced_prefixes():
+def test_induced_prefixes(spark):
+    """Two families of words mark toxic rows, one of them covered by a lexicon already."""
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefg") for _ in range(8))
     rows = []
-    for k in range(300):
-        words = {word() for _ in range(40)} | ({"xyzzy" + word() for _ in range(3)} if k % 5 == 0 else set())
-        rows.append((int(k % 5 == 0), words | set(T.stems_of(words))))
-    assert [f[:4] for f in T.induce(rows, frozenset())] == ["xyzz"]
+    for k in range(600):
+        words = [word() for _ in range(40)] + (["xyzzy" + word() for _ in range(3)] if k % 10 == 0 else ["idiot"] if k % 10 == 1 else [])
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = T.fit(docs, spark.createDataFrame([(k, int(k % 10 < 2)) for k in range(600)], "doc_id long, toxic int"))
+    assert [f[:4] for f in model.voters.induced] == ["xyzz"]
+    toxic = [{"a", "b"}, {"a"}, {"a"}, {"a"}, {"b", "c"}, {"c"}, {"c"}, {"c"}, {"c"}, {"b"}]
+    assert T.induce(toxic, {"a": 4, "b": 3, "c": 5}) == ["c", "a"]
 
 
 NAMES = ("row", "score", "toxicity_", "predicted", "y", "y_id")
