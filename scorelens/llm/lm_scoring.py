@@ -4,7 +4,8 @@ A target model (documents of a given label) and a background model (all document
 and pairs of a word with the one before, as they are, over one shared vocabulary: every word of
 the corpus, with WORDS places at least (places without a word are for words not met).  Counts
 cover every document.  The background's are scaled to the target's total, so that both smooth
-alike.  p(w | v) mixes the pair's count with p(w).
+alike.  p(w | v) mixes the pair's count with p(w): (n(v w) + STRENGTH p(w)) / (n(v) + STRENGTH).
+Over all w, and the chance that a text ends after v, this adds up to 1.
 
 Documents are read in batches of about TOKENS words, which are written to the shared folder.
 A batch deals its distinct words and pairs, with their counts, by a hash to buckets, of which
@@ -12,7 +13,9 @@ there are as many as the texts are long; a bucket adds up equal ones and answers
 the sums.  Words and pairs are compared by their bytes; the hash only deals them.  So a frequent
 pair is one entry a batch, and nothing but a few totals reaches the driver.
 
-Defined cases: a null text, or one without words, has 0 tokens and all losses 0; without target
+Defined cases: a null text, or one without words, has 0 tokens and all losses 0; a very long text
+is a batch of its own; an empty table gives an empty result; further columns, whatever their
+names, are left out; without target
 documents (or labels) the target model is the background model and every score is 0; labels of
 ids that repeat count once; rows repeated are counted and returned as often; words and pairs
 that were not counted have count 0.
@@ -38,7 +41,7 @@ WORDS = 1 << 18
 PRIOR, STRENGTH = 0.5, 4.0
 TOKENS = 1 << 20
 #: Bytes of text for each bucket.
-BUCKET_BYTES = 1 << 23
+BUCKET_BYTES = 1 << 24
 #: Ids of target documents that may be broadcast (16 MB); more are joined by shuffling texts once.
 BROADCAST_IDS = 1_000_000
 
@@ -56,13 +59,6 @@ def _mixed(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def classes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and of each pair of a word with the one before (none before the
-    first: 0)."""
-    h = _hashes(_split(text))
-    return h, _mixed(np.concatenate((np.zeros(min(1, len(h)), np.uint64), h[:-1])), h)
-
-
 def _pack(*parts) -> bytes:
     import zstandard as z
 
@@ -226,8 +222,8 @@ def _messages(batches: DataFrame, buckets: int, counted: bool, asks: bool) -> Da
 
 
 def _answers(messages: DataFrame) -> DataFrame:
-    """The sums of the counted messages for each that asks; n_words, the bucket's distinct
-    counted words, is in one row."""
+    """The sums of the counted messages for each that asks, less its own counts, which it knows
+    and which are most of the sum; n_words, the bucket's distinct counted words, is in one row."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = list(map(_unpack, table["data"]))
@@ -239,7 +235,7 @@ def _answers(messages: DataFrame) -> DataFrame:
             for j in (0, 1):
                 n = np.concatenate([p[k + 2][j] if c else np.zeros(len(p[k]), np.uint8) for p, c in zip(parts, counted, strict=True)])
                 total = np.bincount(at, n, len(keys.dictionary)).astype(np.int64)
-                found.append(np.split(total[at], ends))
+                found.append(np.split(total[at] - n.astype(np.int64), ends))
                 n_words = int((total > 0).sum()) if (k, j) == (0, 1) else n_words
         bucket = table["bucket"][0].as_py()
         rows = [(bucket, None, n_words, None)]
@@ -264,7 +260,8 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
     token; the lower, the more a document is like the target's).  Documents that were counted
     are not read again."""
     buckets, totals = models.buckets, (models.target, models.background)
-    if docs is models.docs and (id_col, text_col) == models.columns:
+    known = docs is models.docs and (id_col, text_col) == models.columns
+    if known:
         batches = models.batches
         messages = _messages(batches, buckets, True, True)
     else:
@@ -281,6 +278,8 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
         for k, data in parts.items():
             one, two = words[ends[0][k] : ends[0][k + 1]], pairs[ends[1][k] : ends[1][k + 1]]
             word[0][one], word[1][one], pair[0][two], pair[1][two] = _unpack(data)
+        if known:
+            word, pair = (more + np.array(own) for more, own in zip((word, pair), b.counts(), strict=True))
         if totals[0]:
             word[1] *= totals[0] / totals[1]
             pair[1] *= totals[0] / totals[1]

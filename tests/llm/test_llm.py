@@ -386,28 +386,24 @@ def test_losses_against_counting(spark):
     target = {k for k, _ in rows if k % 4 == 0}
     models = lm_scoring.fit(docs, spark.createDataFrame([(k,) for k in target], "doc_id long"))
     got = {r.doc_id: r for r in lm_scoring.score(docs, models).collect()}
-
-    def brute(ids, scale):
-        word, pair = Counter(), Counter()
-        for k, t in rows:
-            if k in ids:
-                w, p = lm_scoring.classes(t)
-                word.update(w.tolist())
-                pair.update(p.tolist())
-        return {k: v * scale for k, v in word.items()}, {k: v * scale for k, v in pair.items()}
-
-    n = {k: len(lm_scoring.classes(t)[0]) for k, t in rows}
-    scale = sum(n[k] for k in target) / sum(n.values())
-    for (word, pair), name in ((brute(target, 1), "target_loss"), (brute(set(n), scale), "background_loss")):
-        total = sum(word.values())
-        for k, t in rows[:20]:
-            w, p = lm_scoring.classes(t)
-            loss, before = 0.0, 0.0
-            for a, b in zip(w.tolist(), p.tolist(), strict=True):
-                base = (word.get(a, 0) + lm_scoring.PRIOR) / (total + lm_scoring.PRIOR * lm_scoring.WORDS)
-                loss -= math.log((min(pair.get(b, 0), before) + lm_scoring.STRENGTH * base) / (before + lm_scoring.STRENGTH))
-                before = word.get(a, 0)
-            assert got[k][name] == pytest.approx(loss / len(w), rel=1e-4)
+    split = {k: t.split() for k, t in rows}
+    sizes = [sum(len(split[k]) for k in ids) for ids in (target, set(split))]
+    for ids, scale, name in ((target, 1, "target_loss"), (set(split), sizes[0] / sizes[1], "background_loss")):
+        word, pair, ends = Counter(), Counter(), Counter()
+        for k in ids:
+            word.update(split[k])
+            pair.update(zip(split[k], split[k][1:], strict=False))
+            ends.update(split[k][-1:])
+        base = lambda w: (word[w] * scale + lm_scoring.PRIOR) / (sizes[0] + lm_scoring.PRIOR * lm_scoring.WORDS)
+        p = lambda v, w: (pair[v, w] * scale + lm_scoring.STRENGTH * base(w)) / (word[v] * scale + lm_scoring.STRENGTH)
+        every = set().union(*split.values())
+        unseen = (lm_scoring.WORDS - len(every)) * base("not met")
+        for v in list(every)[:20]:
+            over = sum(p(v, w) for w in every) + lm_scoring.STRENGTH * unseen / (word[v] * scale + lm_scoring.STRENGTH)
+            assert over + ends[v] * scale / (word[v] * scale + lm_scoring.STRENGTH) == pytest.approx(1)
+        for k, _ in rows[:20]:
+            loss = -math.log(base(split[k][0])) - sum(math.log(p(v, w)) for v, w in zip(split[k], split[k][1:], strict=False))
+            assert got[k][name] == pytest.approx(loss / len(split[k]), rel=1e-9)
     assert np.mean([got[k].score for k in target]) < np.mean([got[k].score for k, _ in rows if k not in target])
 
 
