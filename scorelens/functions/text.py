@@ -14,7 +14,9 @@ COMPARE_MODES = ("exact", "strip", "collapse-space")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    """Without white space at either end.  The end is found by one match over the whole text, as a
+    search for it would try every run of white space."""
+    return F.when(text.rlike(rf"[^{SPACE}]"), F.regexp_extract(text, rf"(?s)^[{SPACE}]*+(.*[^{SPACE}])", 1)).when(text.isNotNull(), "")
 
 
 def collapse(text: Column) -> Column:

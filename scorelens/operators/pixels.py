@@ -1,10 +1,13 @@
 """Pixels as rows: thresholds, text detection and degradation.
 
-Grey tables have (image, y, x, gray); degraded values are computed in double and truncated.
+Grey tables have (image, y, x, gray), colour tables (image, y, x, r, g, b); degraded values are
+computed in double and truncated, each channel on its own.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +21,15 @@ TILE = 16
 LUMA = (299, 587, 114)
 
 
+def channels_of(pixels: DataFrame) -> list[str]:
+    return ["r", "g", "b"] if "gray" not in pixels.columns else ["gray"]
+
+
+def with_gray(pixels: DataFrame) -> DataFrame:
+    """Grey values for detection, of colour tables."""
+    return pixels if "gray" in pixels.columns else pixels.withColumn("gray", gray_of(F.col("r"), F.col("g"), F.col("b")))
+
+
 def gray_of(r: Column, g: Column, b: Column) -> Column:
     return F.floor((r * LUMA[0] + g * LUMA[1] + b * LUMA[2]) / 1000).cast("int")
 
@@ -61,82 +73,106 @@ def _tiles(low: str, high: str) -> Column:
     return F.explode(F.sequence(F.floor(F.col(low) / TILE), F.floor((F.col(high) - 1) / TILE)))
 
 
-def covered(pixels: DataFrame, regions: DataFrame) -> DataFrame:
-    """Pixels with each region that they lie in; regions are spread over tiles, so that the join
-    is one by equality."""
+def regions_by_tile(regions: DataFrame) -> DataFrame:
+    """image, ty, tx, boxes: the regions that touch each tile."""
     spread = regions.withColumn("ty", _tiles("y1", "y2")).withColumn("tx", _tiles("x1", "x2"))
-    placed = pixels.withColumns({"ty": F.floor(F.col("y") / TILE), "tx": F.floor(F.col("x") / TILE)})
-    return placed.join(spread, ["image", "ty", "tx"]).where("x >= x1 and x < x2 and y >= y1 and y < y2").drop("ty", "tx")
+    return spread.groupBy("image", "ty", "tx").agg(F.collect_list(F.struct(*R.BOX)).alias("boxes"))
 
 
 def degrade(pixels: DataFrame, regions: DataFrame, config: R.MaskConfig) -> DataFrame:
-    """image, y, x, value: grey values after the regions' effects, in the order of y1, x1, y2, x2;
-    each works on what the one before left, with the mean of the untouched image.
+    """image, y, x and ``value`` (of grey tables) or r, g, b: what the regions' effects leave.
+    Each region that holds a pixel works on what the one before left, with the mean and the blur
+    of the untouched image.
 
     Effects replace and fade move a pixel to the fill by ``opacity``; blur and blur_fade use a
-    Gaussian of the untouched image; noise is drawn from a hash of the seed and the place.
+    Gaussian; noise is drawn from a hash of the seed, the place, the channel and how many regions
+    came before.  Pixels meet the regions of their tile by equality, in one exchange; the means,
+    one row an image, follow where the fill needs them.
     """
     config.validate()
-    plain = pixels.select("image", "y", "x", F.col("gray").cast("int").alias("value"))
+    channels = channels_of(pixels)
+    names = {c: "value" if c == "gray" else c for c in channels}
+    plain = pixels.select("image", "y", "x", *(F.col(c).cast("int").alias(c) for c in channels))
     if config.opacity <= 0:
-        return plain
-    source = pixels.withColumn("g", F.col("gray").cast("double"))
-    if config.effect.startswith("blur"):
-        source = source.join(blurred(pixels, config.blur_radius), ["image", "y", "x"])
-    mean = pixels.groupBy("image").agg(F.avg("gray").alias("mean"))
-    hit = covered(source, regions).groupBy("image", "y", "x").agg(
-        F.first("g").alias("g"), *([F.first("blurred").alias("blurred")] if "blurred" in source.columns else []), F.array_sort(F.collect_list(F.struct("y1", "x1", "y2", "x2"))).alias("order")
-    )
-    hit = hit.join(mean, "image")
-    uniform = [F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{config.seed}-{k}"), "image", "y", "x").cast("binary")), 1, 12), 16, 10).cast("double") / float(16**12) for k in "ab"]
-    fill = {"mean": F.col("mean"), "black": F.lit(0.0), "white": F.lit(255.0), "noise": F.floor(uniform[0] * 256)}[config.fill]
-    normal = F.sqrt(-2 * F.log(1 - uniform[0])) * F.cos(2 * float(np.pi) * uniform[1]) * config.noise_std
-
-    def effect(current: Column) -> Column:
-        blur = F.col("blurred") if "blurred" in source.columns else None
+        return plain.withColumnsRenamed(names)
+    rows = plain.withColumns({"ty": F.floor(F.col("y") / TILE), "tx": F.floor(F.col("x") / TILE)}).join(regions_by_tile(regions), ["image", "ty", "tx"], "left")
+    inside = F.filter("boxes", lambda b: (F.col("x") >= b["x1"]) & (F.col("x") < b["x2"]) & (F.col("y") >= b["y1"]) & (F.col("y") < b["y2"]))
+    rows = rows.withColumn("times", F.coalesce(F.size(inside), F.lit(0)))
+    soft = config.effect in ("blur", "blur_fade") and config.blur_radius > 0
+    if soft:
+        rows = rows.join(blurred(plain, config.blur_radius), ["image", "y", "x"])
+    if config.fill == "mean" and config.effect in ("replace", "fade", "blur_fade"):
+        rows = rows.join(pixels.groupBy("image").agg(*(F.avg(c).alias(f"mean_{c}") for c in channels)), "image")
+
+    def uniform(kind: str, c: str, nth: Column) -> Column:
+        place = F.concat_ws(":", F.lit(f"{config.seed}-{kind}-{c}"), "image", "y", "x", nth.cast("string"))
+        return F.conv(F.substring(F.md5(place.cast("binary")), 1, 12), 16, 10).cast("double") / float(16**12)
+
+    def effect(c: str, current: Column, nth: Column) -> Column:
+        fill = {"mean": F.col(f"mean_{c}"), "black": F.lit(0.0), "white": F.lit(255.0), "noise": F.floor(uniform("fill", c, nth) * 256)}[config.fill] if config.effect not in ("blur", "noise") else None
+        blur = F.col(f"blurred_{c}") if soft else current
         if config.effect == "blur":
             return blur
         if config.effect == "blur_fade":
             return blur * 0.65 + fill * 0.35
         if config.effect == "noise":
+            normal = F.sqrt(-2 * F.log(1 - uniform("a", c, nth))) * F.cos(2 * float(np.pi) * uniform("b", c, nth)) * config.noise_std
             return F.least(F.lit(255.0), F.greatest(F.lit(0.0), current + normal))
         return fill
 
-    a = config.opacity
-    folded = F.aggregate("order", F.col("g"), lambda v, _: v * (1 - a) + effect(v) * a)
-    value = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), folded))).cast("int")
-    changed = hit.select("image", "y", "x", value.alias("new"))
-    return plain.join(changed, ["image", "y", "x"], "left").select("image", "y", "x", F.coalesce("new", "value").alias("value"))
+    def after(c: str) -> Column:
+        a, start = config.opacity, F.col(c).cast("double")
+        folded = F.aggregate(F.sequence(F.lit(1), F.col("times")), start, lambda v, k: v * (1 - a) + effect(c, v, k) * a)
+        changed = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), folded))).cast("int")
+        return F.when(F.col("times") > 0, changed).otherwise(F.col(c)).alias(names[c])
+
+    return rows.select("image", "y", "x", *map(after, channels))
 
 
 def blurred(pixels: DataFrame, radius: float) -> DataFrame:
-    """image, y, x, blurred: a Gaussian of deviation ``radius``, edges repeated; an image is
-    filtered in one task, as it is one array."""
+    """image, y, x, blurred_* of each channel: a Gaussian of deviation ``radius`` with edges
+    repeated, rounded to whole values; an image is filtered in one task, as it is one array."""
+    channels = channels_of(pixels)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = pdf["y"].max() + 1, pdf["x"].max() + 1
-        a = np.zeros((h, w))
-        a[pdf["y"], pdf["x"]] = pdf["gray"]
-        reach = max(1, int(np.ceil(3 * radius)))
-        k = np.exp(-0.5 * (np.arange(-reach, reach + 1) / max(radius, 1e-9)) ** 2)
-        k /= k.sum()
-        for axis in (0, 1):
-            padded = np.pad(a, [(reach, reach) if d == axis else (0, 0) for d in (0, 1)], mode="edge")
-            a = sum(w_ * np.take(padded, range(n, n + a.shape[axis]), axis) for n, w_ in enumerate(k))
-        return pdf[["image", "y", "x"]].assign(blurred=a[pdf["y"], pdf["x"]])
+        out = pdf[["image", "y", "x"]].copy()
+        for c in channels:
+            a = np.zeros((pdf["y"].max() + 1, pdf["x"].max() + 1))
+            a[pdf["y"], pdf["x"]] = pdf[c]
+            k = kernel(radius)
+            reach = len(k) // 2
+            for axis in (0, 1):
+                padded = np.pad(a, [(reach, reach) if d == axis else (0, 0) for d in (0, 1)], mode="edge")
+                a = sum(w * np.take(padded, range(n, n + a.shape[axis]), axis) for n, w in enumerate(k))
+            # Sums that differ in their last digits must not differ after rounding.
+            out[f"blurred_{c}"] = np.floor(np.round(a[pdf["y"], pdf["x"]], 6) + 0.5)
+        return out
 
     kind = dict(pixels.dtypes)
-    return pixels.select("image", "y", "x", "gray").groupBy("image").applyInPandas(run, f"image {kind['image']}, y {kind['y']}, x {kind['x']}, blurred double")
+    made = ", ".join(f"blurred_{c} double" for c in channels)
+    return pixels.select("image", "y", "x", *channels).groupBy("image").applyInPandas(run, f"image {kind['image']}, y {kind['y']}, x {kind['x']}, {made}")
+
+
+def kernel(radius: float) -> np.ndarray:
+    reach = max(1, int(np.ceil(3 * radius)))
+    k = np.exp(-0.5 * (np.arange(-reach, reach + 1) / radius) ** 2)
+    return k / k.sum()
 
 
 def apply_mask(pixels: DataFrame, images: DataFrame, config: R.MaskConfig, boxes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(degraded pixels, selected regions, metadata): candidates by strategy, a seeded share of
-    them, their effect.  ``images`` has image, width, height; ``boxes`` given word boxes."""
+    them, their effect, on grey or colour tables.  ``images`` has image, width, height; ``boxes``
+    given word boxes."""
     config.validate()
     if config.strategy == "patch":
         candidates = R.patch_grid(images, "image", config.patch_size)
     else:
-        found = boxes if boxes is not None else detect_words(pixels, images, config.text_threshold, config.word_gap, config.word_min_width, config.word_min_height)
+        found = boxes if boxes is not None else detect_words(with_gray(pixels), images, config.text_threshold, config.word_gap, config.word_min_width, config.word_min_height)
         candidates = R.word_regions(found.join(images, "image"), config.word_padding, config.word_min_width, config.word_min_height).select("image", *R.BOX)
     selected = R.sampled(candidates, "image", config.ratio, config.seed)
-    return degrade(pixels, selected, config), selected, R.metadata(candidates, selected, "image")
+    return degrade(pixels, selected, config), selected, R.mask_metadata(images, candidates, selected, config)
+
+
+def apply_patch_mask(pixels: DataFrame, images: DataFrame, config: R.MaskConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``apply_mask`` with tiles, whatever strategy the settings name."""
+    return apply_mask(pixels, images, replace(config, strategy="patch"))

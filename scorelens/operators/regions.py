@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,7 +54,8 @@ class MaskConfig:
         return self
 
     def to_dict(self) -> dict:
-        return asdict(self)
+        """The settings by the names that artifacts give them."""
+        return {"word_boxes_path" if k == "word_boxes" else k: v for k, v in asdict(self).items()}
 
 
 def patch_grid(images: DataFrame, id_col: str, size: int) -> DataFrame:
@@ -124,13 +126,43 @@ def metadata(candidates: DataFrame, selected: DataFrame, id_col: str) -> DataFra
     return a.join(b, id_col, "left").select(id_col, "num_candidates", F.coalesce("num_selected", F.lit(0)).cast("long").alias("num_selected"))
 
 
+def mask_metadata(images: DataFrame, candidates: DataFrame, selected: DataFrame, config: MaskConfig) -> DataFrame:
+    """One row per image: its size, what was done, counts, the selected regions in order with
+    their source, the grid of tiles or the source of word boxes, and the settings as JSON."""
+    patch = config.strategy == "patch"
+    source = "patch" if patch else "word_boxes" if config.word_boxes else "auto"
+    whole = F.array_sort(F.collect_list(F.struct("y1", "x1", "y2", "x2")))
+    regions = F.transform(whole, lambda r: F.struct(*(r[c].alias(c) for c in BOX), F.lit(source).alias("source")))
+    chosen = selected.groupBy("image").agg(regions.alias("selected_regions"))
+    counted = metadata(candidates, selected, "image")
+    none = F.array().cast(f"array<struct<{', '.join(f'{c}:int' for c in BOX)}, source:string>>")
+    cells = [F.ceil(F.col(c) / config.patch_size).cast("int") if patch else F.lit(None).cast("int") for c in ("width", "height")]
+    return images.join(counted, "image", "left").join(chosen, "image", "left").select(
+        "image",
+        F.col("width").alias("image_width"),
+        F.col("height").alias("image_height"),
+        F.lit(config.strategy).alias("strategy"),
+        F.lit(config.effect).alias("effect"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("num_candidates", "num_selected")),
+        cells[0].alias("grid_width"),
+        cells[1].alias("grid_height"),
+        F.lit(None if patch else config.word_boxes or "auto_text_threshold").cast("string").alias("word_box_source"),
+        F.coalesce("selected_regions", none).alias("selected_regions"),
+        F.lit(json.dumps(config.to_dict())).alias("config"),
+    )
+
+
 def is_box(value) -> bool:
     return isinstance(value, list) and len(value) == 4 and all(isinstance(v, (int, float)) for v in value)
 
 
+#: Keys that are never looked into, whether they gave a box or not.
+BOX_KEYS = frozenset(("bbox", "box", "x", "y", "w", "h"))
+
+
 def iter_boxes(data):
-    """Boxes at any depth: under 'bbox' or 'box', from x, y, w, h, or a bare list of four numbers.
-    What gave a box is not looked into again."""
+    """Boxes at any depth: under 'bbox' or 'box', from x, y, w, h (numbers or their texts), or a
+    bare list of four numbers.  Four such keys that are no numbers are an error."""
     todo = [data]
     while todo:
         value = todo.pop()
@@ -139,31 +171,25 @@ def iter_boxes(data):
         elif isinstance(value, list):
             todo += reversed(value)
         elif isinstance(value, dict):
-            used = {k for k in ("bbox", "box") if is_box(value.get(k))}
             for k in ("bbox", "box"):
-                if k in used:
+                if is_box(value.get(k)):
                     yield [float(v) for v in value[k]]
-            corner = [value.get(k) for k in "xywh"]
-            if is_box(corner):
-                x, y, w, h = map(float, corner)
+            if all(k in value for k in "xywh"):
+                x, y, w, h = (float(value[k]) for k in "xywh")
                 yield [x, y, x + w, y + h]
-                used |= set("xywh")
-            todo += reversed([v for k, v in value.items() if k not in used])
+            todo += reversed([v for k, v in value.items() if k not in BOX_KEYS])
 
 
 @udtf(returnType="nth: int, box: array<double>")
 class JsonBoxes:
-    """The boxes of a JSON text; none for text that is not JSON."""
+    """The boxes of a JSON text; none for text that is not JSON or holds a malformed box."""
 
     def eval(self, text: str):
-        import json
-
         try:
-            data = json.loads(text)
+            found = list(iter_boxes(json.loads(text)))
         except (TypeError, ValueError):
             return
-        for nth, box in enumerate(iter_boxes(data)):
-            yield nth, box
+        yield from enumerate(found)
 
 
 def boxes_of_json(documents: DataFrame, text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 
 KEY = ["response_id", "token_index"]
-#: Column order of a token table, as in its CSV form.
+#: Column order of a token table, as in its CSV form.
 TOKEN_COLUMNS = [
     "index", "token_id", "token", "raw_token", "p_original", "p_masked", "delta_p", "logp_original", "logp_masked", "delta_logp",
     "top_token_id_original", "top_token_original", "top_raw_token_original", "top_p_original", "top_logp_original",

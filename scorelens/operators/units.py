@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 
-#: Column order of a unit table, as in its CSV form.
+#: Column order of a unit table, as in its CSV form.
 UNIT_COLUMNS = [
     "index", "unit_type", "text", "raw_text", "token_start", "token_end", "token_count", "token_ids", "tokens",
     "image_dependency_logp", "first_token_logp_original", "first_token_logp_masked", "first_token_delta_logp",
@@ -31,18 +31,22 @@ def units_of_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, unit, unit_type, token_start, token_end, token_count, raw_text, text for whole texts.
 
     A text's tokens are in one row, so units are found in arrays and nothing is shuffled: types
-    of all pieces, positions that open a unit, and the slices between them.
+    of all pieces, positions that open a unit, and the slices between them.  Units are made whole
+    before they become rows, so that no row carries the arrays.
     """
     rows = docs.select(id_col, T.pieces(F.coalesce(F.col(text_col), F.lit(""))).alias("pieces"))
     rows = rows.where(F.size("pieces") > 0).withColumn("kinds", F.transform("pieces", T.piece_type))
     n = F.size("pieces")
     opens = F.filter(F.sequence(F.lit(0), n - 1), lambda i: starts_unit(F.get("kinds", i), F.get("pieces", i), F.get("kinds", i - 1)))
     rows = rows.withColumn("opens", opens)
-    rows = rows.select(id_col, "pieces", "kinds", F.posexplode(F.transform("opens", lambda s, k: F.struct(s.alias("token_start"), F.coalesce(F.get("opens", k + 1), n).alias("token_end")))).alias("unit", "x"))
-    size = F.col("x.token_end") - F.col("x.token_start")
-    raw = F.array_join(F.slice("pieces", F.col("x.token_start") + 1, size), "")
-    rows = rows.select(id_col, "unit", F.get("kinds", F.col("x.token_start")).alias("unit_type"), "x.token_start", "x.token_end", size.alias("token_count"), raw.alias("raw_text"))
-    return rows.withColumn("text", shown_text(F.col("unit_type"), F.col("raw_text")))
+
+    def unit(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("opens", k + 1), n)
+        raw = F.array_join(F.slice("pieces", start + 1, end - start), "")
+        return F.struct(k.alias("unit"), F.get("kinds", start).alias("unit_type"), start.alias("token_start"), end.alias("token_end"), (end - start).alias("token_count"), raw.alias("raw_text"))
+
+    found = rows.select(id_col, F.inline(F.transform("opens", unit)))
+    return found.withColumn("text", shown_text(F.col("unit_type"), F.col("raw_text")))
 
 
 def units_of_tokens(tokens: DataFrame) -> DataFrame:

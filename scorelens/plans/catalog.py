@@ -6,9 +6,6 @@ their order and engines differ in the widths they infer.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +13,7 @@ from ..functions import text as T
 from ..operators import dedup, pixels, prefix, regions, scores, units
 from ..operators.regions import MaskConfig
 from ..sources import readers, writers
+from ..sources.shared import new_folder
 from ..streaming import unique
 from . import bindings as B
 from .oracle import ORACLE_SQL
@@ -26,6 +24,11 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 THRESHOLD, WORD_GAP = 70, 2
 PATCHES = MaskConfig(patch_size=16, ratio=0.35, opacity=0.5, fill="mean")
 OVERLAP = MaskConfig(opacity=0.5, fill="black")
+WHITE = MaskConfig(effect="fade", opacity=0.3, fill="white")
+NOISE_FILL = MaskConfig(fill="noise")
+NOISE = MaskConfig(effect="noise", noise_std=25.0)
+BLUR = MaskConfig(effect="blur")
+COLOUR = MaskConfig(effect="blur_fade", opacity=0.5, fill="mean")
 IDS = ["271, 91,,", " 7 ,8", " , ", "x", "5"]
 JSON_BOXES = [
     '{"words": [{"text": "a", "bbox": [120, 240, 188, 260]}, {"box": [210, 240, 280, 260]}, [300, 240, 360, 260]]}',
@@ -33,6 +36,11 @@ JSON_BOXES = [
     '{"x": 10, "y": 20, "w": 30, "h": 40}',
     "[0.1, 0.2, 0.5, 0.4]",
     "not json",
+    '{"bbox": {"box": [1, 2, 3, 4]}, "x": [1, 2, 3, 4], "w": {"bbox": [1, 2, 3, 4]}}',
+    '{"bbox": [[1, 2, 3, 4]], "deep": [{"box": [10, 10, 20, 30], "h": [9, 9, 9, 9]}]}',
+    '{"x": "10", "y": "20.4", "w": "30", "h": "40"}',
+    '{"x": "a", "y": 1, "w": 2, "h": 3, "box": [1, 2, 3, 4]}',
+    '{"bbox": [5, 6, 7, 8], "box": [15, 16, 27, 28], "x": 1, "y": 2, "w": 3, "h": 4, "k": [30, 40, 50, 60]}',
 ]
 #: Tokens that a careless CSV would spoil.
 AWKWARD = ["a,b", 'say "x"', "two\nlines", "back\\slash", " leading", "", "lone\rreturn"]
@@ -51,14 +59,6 @@ def _number() -> Column:
     return F.coalesce("unique_index", F.lit(0)).cast("long").alias("unique_index")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def token_log_softmax(spark, sf):
     return rounded(scores.token_statistics(B.logits(spark, sf)).select(*scores.KEY, "token_id", "logp", "p"))
 
@@ -123,7 +123,7 @@ def compact_labels(spark, sf):
 
 def _dedup(mode: str):
     def query(spark, sf):
-        done = dedup.deduplicate(B.responses(spark, sf), mode, "seq")
+        done = dedup.deduplicate(B.responses(spark, sf), mode, "seq", kept=["seq"])
         return done.select(F.col("seq").alias("doc_id"), "hash", "is_unique", _number())
 
     return query
@@ -133,8 +133,8 @@ def dedup_resume(spark, sf):
     """The first half of the documents is the manifest."""
     every = B.responses(spark, sf)
     half = (every.agg(F.max("seq")).first()[0] or 0) // 2
-    seen = dedup.deduplicate(every.where(F.col("seq") < half), "strip", "seq").where("is_unique")
-    done = dedup.deduplicate(every.where(F.col("seq") >= half), "strip", "seq", manifest=seen.select("hash", "unique_index"))
+    seen = dedup.deduplicate(every.where(F.col("seq") < half), "strip", "seq", kept=["seq"]).where("is_unique")
+    done = dedup.deduplicate(every.where(F.col("seq") >= half), "strip", "seq", manifest=seen.select("hash", "unique_index"), kept=["seq"])
     return done.select(F.col("seq").alias("doc_id"), "hash", "is_unique", _number())
 
 
@@ -146,7 +146,7 @@ def dedup_stream(spark, sf):
     if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
         stream, path = stream.option("pathGlobFilter", "events.parquet"), sf
     rows = stream.parquet(path).select(F.col("event_id").alias("seq"), F.concat("event_type", "props").alias("text"))
-    folder = _folder(spark)
+    folder = new_folder(spark)
     unique.unique_loop(rows, folder).awaitTermination()
     return unique.runs_log(spark, folder).select(F.col("seq").alias("event_id"), "is_unique", _number())
 
@@ -237,10 +237,45 @@ def degrade_overlap(spark, sf):
     return pixels.degrade(B.pixels(spark, sf), B.overlapping(spark, sf), OVERLAP)
 
 
+def _degraded(config: MaskConfig):
+    def query(spark, sf):
+        return pixels.degrade(B.pixels(spark, sf), B.overlapping(spark, sf), config)
+
+    return query
+
+
+def _colours(spark, sf):
+    g = F.col("gray")
+    return B.pixels(spark, sf).select("image", "y", "x", g.alias("r"), (255 - g).alias("g"), (g * 3 % 256).cast("int").alias("b"))
+
+
+def degrade_colour(spark, sf):
+    return pixels.degrade(_colours(spark, sf), B.overlapping(spark, sf), COLOUR)
+
+
+def gray_from_colour(spark, sf):
+    return pixels.with_gray(_colours(spark, sf)).select("image", "y", "x", "gray")
+
+
+def patch_mask_colour(spark, sf):
+    """Colour images under a patch mask, whatever strategy the settings name."""
+    config = MaskConfig(strategy="word", patch_size=16, fill="black")
+    return pixels.apply_patch_mask(_colours(spark, sf), B.pixel_images(spark, sf), config)[0]
+
+
 def mask_metadata(spark, sf):
     return regions.metadata(_grid(spark, sf), regions.sampled(_grid(spark, sf), "p_partkey", 0.35, 7), "p_partkey")
 
 
+def mask_record(spark, sf):
+    """The whole record of a patch mask, its regions one to a row."""
+    got = pixels.apply_patch_mask(B.pixels(spark, sf), B.pixel_images(spark, sf), PATCHES)[2]
+    got = got.select("*", F.posexplode("selected_regions").alias("nth", "region"))
+    fields = ["image", "image_width", "image_height", "strategy", "effect", "num_candidates", "num_selected", "grid_width", "grid_height", "word_box_source", "nth"]
+    setting = lambda k, kind: F.get_json_object("config", f"$.{k}").cast(kind).alias(k)
+    return got.select(*fields, *(F.col(f"region.{c}").alias(c) for c in (*regions.BOX, "source")), setting("patch_size", "int"), setting("ratio", "double"), setting("seed", "int"))
+
+
 def html_escaped(spark, sf):
     return B.read(spark, sf, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
 
@@ -268,7 +303,7 @@ def _full_table(spark, sf):
 def csv_roundtrip(spark, sf):
     table = _full_table(spark, sf)
     columns = ["response_id", *scores.TOKEN_COLUMNS]
-    path = f"{_folder(spark)}/token_probabilities.csv"
+    path = f"{new_folder(spark)}/token_probabilities.csv"
     writers.csv(table, path, columns)
     schema = ", ".join(f"`{c}` {dict(table.dtypes)[c]}" for c in columns)
     return rounded(readers.token_table(spark, path, schema))
@@ -286,6 +321,6 @@ QUERIES = {
         token_log_softmax, token_argmax, token_scores_paired, shifted_scores, next_token_topk, inspected_tokens, token_pieces_decoded, response_text,
         piece_types, token_units, unit_scores, unit_dependency_top, compact_labels, dedup_resume, dedup_stream, prefix_validity, prefix_splice,
         forced_ids_parsed, trailing_trim, chat_messages, privileged_prompts, patch_grid, region_clip, region_sample, dark_threshold, text_lines,
-        word_boxes_detected, word_boxes_json, degrade_patches, degrade_overlap, mask_metadata, html_escaped, report_hue, plot_ticks, csv_roundtrip, json_payload,
+        word_boxes_detected, word_boxes_json, degrade_patches, degrade_overlap, degrade_colour, gray_from_colour, patch_mask_colour, mask_record, mask_metadata, html_escaped, report_hue, plot_ticks, csv_roundtrip, json_payload,
     )
-} | {"dedup_exact": _dedup("exact"), "dedup_strip": _dedup("strip"), "dedup_collapse": _dedup("collapse-space")}
+} | {"dedup_exact": _dedup("exact"), "dedup_strip": _dedup("strip"), "dedup_collapse": _dedup("collapse-space")} | {f"degrade_{n}": _degraded(c) for n, c in (("white", WHITE), ("noise_fill", NOISE_FILL), ("noise", NOISE), ("blur", BLUR))}

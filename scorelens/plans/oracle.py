@@ -105,6 +105,33 @@ LINES = f"""{PIXELS}, dark AS (SELECT * FROM pixels WHERE gray <= 70),
     rows_ AS (SELECT d.image, y FROM dark d JOIN images i ON d.image = i.image GROUP BY d.image, y, width HAVING count(*) >= greatest(2, floor(width * 0.0015))),
     lines AS (SELECT image, a::INTEGER AS y1, b::INTEGER AS y2 FROM ({{lines}}) WHERE b - a >= 4)"""
 
+SMALL_GRID = """grid AS (SELECT image, (gx * 16)::INTEGER AS x1, (gy * 16)::INTEGER AS y1, least(gx * 16 + 16, width)::INTEGER AS x2, least(gy * 16 + 16, height)::INTEGER AS y2
+    FROM images, LATERAL (SELECT unnest(range((width + 15) // 16)) AS gx), LATERAL (SELECT unnest(range((height + 15) // 16)) AS gy))"""
+COLOURS = PIXELS.replace("pixels AS (", "grays AS (", 1).replace("FROM pixels GROUP BY", "FROM grays GROUP BY") + ", pixels AS (SELECT image, y, x, gray AS r, 255 - gray AS g, (gray * 3) % 256 AS b FROM grays)"
+#: Pixels inside the two regions that every image has.
+IN_A, IN_B = ("p.x >= 8 AND p.x < 40 AND p.y >= 8 AND p.y < 30", "p.x >= 20 AND p.x < 60 AND p.y >= 15 AND p.y < 45")
+
+
+def _uniform(name: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '{name}', image, y, x, k)), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
+
+
+def _steps(column: str, step: str) -> str:
+    """``step`` of v, the value so far, and k, for each of the two regions that hold a pixel."""
+    once = f"(SELECT image, y, x, {column}, n, CASE WHEN n >= 1 THEN {step} ELSE v END AS v, 2 AS k FROM (SELECT p.*, {column}::DOUBLE AS v, 1 AS k, ({IN_A})::INTEGER + ({IN_B})::INTEGER AS n FROM pixels p))"
+    return f"WITH {PIXELS} SELECT image, y, x, CASE WHEN n = 0 THEN {column} ELSE floor(CASE WHEN n >= 2 THEN {step} ELSE v END)::INTEGER END AS value FROM {once}"
+
+
+def _blur(column: str) -> str:
+    """CTEs down to soft_<column>: two passes of a Gaussian of deviation 1.2 over four neighbours
+    to either side, edges repeated."""
+    taps = "(SELECT d, exp(-0.5 * (d / 1.2::DOUBLE) ** 2) / (SELECT sum(exp(-0.5 * (e / 1.2::DOUBLE) ** 2)) FROM range(-4, 5) r(e)) AS w FROM range(-4, 5) t(d))"
+    down = f"SELECT p.image, p.y, p.x, sum(w * q.{column}) AS v FROM pixels p JOIN images i ON p.image = i.image, {taps} JOIN pixels q ON TRUE WHERE q.image = p.image AND q.x = p.x AND q.y = greatest(0, least(height - 1, p.y + d)) GROUP BY ALL"
+    return f"""down_{column} AS ({down}),
+        soft_{column} AS (SELECT p.image, p.y, p.x, floor(round(sum(w * q.v), 6) + 0.5) AS soft FROM down_{column} p JOIN images i ON p.image = i.image, {taps} JOIN down_{column} q ON TRUE
+            WHERE q.image = p.image AND q.y = p.y AND q.x = greatest(0, least(width - 1, p.x + d)) GROUP BY ALL)"""
+
+
 ORACLE_SQL = {
     "token_log_softmax": f"WITH {ORIGINAL}, {_stats('original', 'so')} SELECT response_id, token_index, token_id, round(logp, 6) AS logp, round(p, 6) AS p FROM so",
     "token_argmax": f"WITH {ORIGINAL}, {_stats('original', 'so')} SELECT response_id, token_index, top_token_id, round(top_logp, 6) AS top_logp, round(top_p, 6) AS top_p FROM so",
@@ -184,13 +211,31 @@ ORACLE_SQL = {
         FROM pixels p JOIN means USING (image) LEFT JOIN sampled s ON p.image = s.image AND x >= x1 AND x < x2 AND y >= y1 AND y < y2""",
     "degrade_overlap": f"""WITH {PIXELS} SELECT image, y, x, floor(gray * CASE WHEN x >= 8 AND x < 40 AND y >= 8 AND y < 30 THEN 0.5::DOUBLE ELSE 1 END
         * CASE WHEN x >= 20 AND x < 60 AND y >= 15 AND y < 45 THEN 0.5::DOUBLE ELSE 1 END)::INTEGER AS value FROM pixels""",
+    "degrade_white": _steps("gray", "v * (1 - 0.3::DOUBLE) + 255 * 0.3::DOUBLE"),
+    "degrade_noise_fill": _steps("gray", f"v * 0 + floor({_uniform('7-fill-gray')} * 256)"),
+    "degrade_noise": _steps("gray", f"v * 0 + least(255, greatest(0, v + sqrt(-2 * ln(1 - {_uniform('7-a-gray')})) * cos(2 * pi() * {_uniform('7-b-gray')}) * 25))"),
+    "degrade_blur": f"""WITH {PIXELS}, {_blur("gray")} SELECT p.image, p.y, p.x, CASE WHEN {IN_A} OR {IN_B} THEN soft::INTEGER ELSE gray END AS value
+        FROM pixels p JOIN soft_gray s ON p.image = s.image AND p.y = s.y AND p.x = s.x""",
+    "degrade_colour": f"""WITH {COLOURS}, {", ".join(_blur(c) for c in "rgb")}, means AS (SELECT image, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM pixels GROUP BY image),
+        both_ AS (SELECT p.*, {", ".join(f"s{c}.soft * 0.65::DOUBLE + m.{c} * 0.35::DOUBLE AS to_{c}" for c in "rgb")}, ({IN_A})::INTEGER + ({IN_B})::INTEGER AS n
+            FROM pixels p JOIN means m ON p.image = m.image {" ".join(f"JOIN soft_{c} s{c} ON p.image = s{c}.image AND p.y = s{c}.y AND p.x = s{c}.x" for c in "rgb")})
+        SELECT image, y, x, {", ".join(f"CASE n WHEN 0 THEN {c} WHEN 1 THEN floor({c} * 0.5::DOUBLE + to_{c} * 0.5::DOUBLE)::INTEGER ELSE floor(({c} * 0.5::DOUBLE + to_{c} * 0.5::DOUBLE) * 0.5::DOUBLE + to_{c} * 0.5::DOUBLE)::INTEGER END AS {c}" for c in "rgb")} FROM both_""",
+    "gray_from_colour": f"WITH {COLOURS} SELECT image, y, x, (299 * r + 587 * g + 114 * b)::INTEGER // 1000 AS gray FROM pixels",
+    "patch_mask_colour": f"""WITH {COLOURS}, {SMALL_GRID}, {_sampled("grid", "image")}
+        SELECT p.image, y, x, {", ".join(f"CASE WHEN s.image IS NULL THEN {c} ELSE 0 END AS {c}" for c in "rgb")}
+        FROM pixels p LEFT JOIN sampled s ON p.image = s.image AND x >= x1 AND x < x2 AND y >= y1 AND y < y2""",
+    "mask_record": f"""WITH {PIXELS}, {SMALL_GRID}, {_sampled("grid", "image")}
+        SELECT image, width AS image_width, height AS image_height, 'patch' AS strategy, 'replace' AS effect, (SELECT count(*) FROM grid g WHERE g.image = i.image) AS num_candidates,
+            count(*) OVER (PARTITION BY image) AS num_selected, (width + 15) // 16 AS grid_width, (height + 15) // 16 AS grid_height, NULL::VARCHAR AS word_box_source,
+            (row_number() OVER (PARTITION BY image ORDER BY y1, x1, y2, x2) - 1)::INTEGER AS nth, x1, y1, x2, y2, 'patch' AS source, 16 AS patch_size, 0.35::DOUBLE AS ratio, 7 AS seed
+        FROM sampled JOIN images i USING (image)""",
     "mask_metadata": f"""WITH {GRID}, {_sampled("grid", "p_partkey")} SELECT p_partkey, num_candidates, coalesce(num_selected, 0) AS num_selected
         FROM (SELECT p_partkey, count(*) AS num_candidates FROM grid GROUP BY p_partkey) LEFT JOIN (SELECT p_partkey, count(*) AS num_selected FROM sampled GROUP BY p_partkey) USING (p_partkey)""",
     "html_escaped": """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM pages""",
     "report_hue": f"""WITH {PAIRED} SELECT response_id, token_index, round_even(8 + 128 * greatest(0, least(1, round(p_original, 6))), 1) AS hue_original,
         round_even(8 + 128 * greatest(0, least(1, round(p_masked, 6))), 1) AS hue_masked FROM paired""",
     "plot_ticks": """SELECT vec_id // 100 AS response_id, (vec_id % 100)::INTEGER AS token_index, (vec_id % 100) % greatest(1, count(*) OVER (PARTITION BY vec_id // 100) // 40) = 0 AS is_tick FROM embeddings""",
-    "word_boxes_json": """SELECT * FROM (VALUES (0::BIGINT, 120, 240, 188, 260), (0, 210, 240, 280, 260), (0, 300, 240, 360, 260), (1, 1, 2, 3, 4), (1, 5, 6, 7, 8), (2, 10, 20, 40, 60), (3, 40, 60, 200, 120)) v(id, x1, y1, x2, y2)""",
+    "word_boxes_json": """SELECT * FROM (VALUES (0::BIGINT, 120, 240, 188, 260), (0, 210, 240, 280, 260), (0, 300, 240, 360, 260), (1, 1, 2, 3, 4), (1, 5, 6, 7, 8), (2, 10, 20, 40, 60), (3, 40, 60, 200, 120), (6, 10, 10, 20, 30), (7, 10, 20, 40, 60), (9, 5, 6, 7, 8), (9, 15, 16, 27, 28), (9, 1, 2, 4, 6), (9, 30, 40, 50, 60)) v(id, x1, y1, x2, y2)""",
     "csv_roundtrip": f"""WITH {PAIRED}, {VOCAB}, raw AS (
             SELECT p.*, coalesce(CASE (response_id * 20 + token_index) % 50 WHEN 0 THEN 'a,b' WHEN 1 THEN 'say "x"' WHEN 2 THEN 'two' || chr(10) || 'lines' WHEN 3 THEN 'back\\slash'
                 WHEN 4 THEN ' leading' WHEN 5 THEN '' WHEN 6 THEN 'lone' || chr(13) || 'return' END, v.raw_token) AS raw_token, o.raw_token AS top_raw_token_original, m.raw_token AS top_raw_token_masked

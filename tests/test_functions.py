@@ -53,3 +53,10 @@ def test_safe_exp(spark, v, want):
 def test_pieces_cover_text(spark):
     text = "Hello, wörld!?\n\n  x_1 (a.b)--\t日本語テキスト ok"
     assert "".join(value(spark, T.pieces(F.lit(text)))) == text
+
+
+def test_strip_against_python(spark):
+    texts = ["", " ", " a\x1c", "a b", " a \n b\t", "\x85x\xa0", "a" + " " * 100_000 + "b ", " " * 100_000, "​ a", "퟿", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.strip(F.col("t")).alias("s"), T.collapse(F.col("t")).alias("c")).collect()
+    assert {r.k: r.s for r in got} == {k: None if t is None else t.strip() for k, t in enumerate(texts)}
+    assert {r.k: r.c for r in got} == {k: None if t is None else " ".join(t.split()) for k, t in enumerate(texts)}

@@ -198,3 +198,60 @@ def test_apply_mask(spark, strategy, effect, fill):
     before = {(r.y, r.x): r.gray for r in rows.collect()}
     assert all(values[k] == before[k] for k in before if k not in inside)
     assert sorted(done.collect()) == sorted(pixels.apply_mask(rows.repartition(3), images, config)[0].collect())
+
+
+def test_keys_that_are_never_looked_into(spark):
+    texts = ['{"bbox": {"box": [1, 2, 3, 4]}}', '{"x": [1, 2, 3, 4]}', '{"bbox": [[1, 2, 3, 4]]}', '{"x": "1", "y": "2", "w": "3", "h": "4"}', '{"x": null, "y": 1, "w": 1, "h": 1, "box": [1, 2, 3, 4]}', "[[true, 2, 3, 4]]"]
+    got = regions.boxes_of_json(spark.createDataFrame(list(enumerate(texts)), "k int, text string"))
+    assert sorted((r.k, r.box) for r in got.collect()) == [(3, [1, 2, 4, 6]), (5, [1, 2, 3, 4])]
+
+
+def test_dedup_of_odd_sequences(spark):
+    """Sequence numbers that repeat, are missing or lie far off."""
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "a"), (None, "c"), (10**15, "d"), (-(10**15), "e"), (2, "b"), (3, None)]
+    got = dedup.deduplicate(spark.createDataFrame(rows, "seq long, text string").repartition(5), "strip", "seq").collect()
+    unique = {r.text: (r.unique_index, r.seq) for r in got if r.is_unique}
+    assert {t: s for t, (_, s) in unique.items()} == {"e": -(10**15), "a": 1, "b": 1, "d": 10**15, "c": None, None: 3}
+    assert sorted(n for n, _ in unique.values()) == [1, 2, 3, 4, 5, 6] and unique["e"][0] == 1 and unique["c"][0] == 6
+    assert sum(r.unique_index is not None for r in got) == 6 and len(got) == len(rows)
+
+
+def test_many_uniques_are_numbered_in_order(spark):
+    rows = spark.range(5_000).selectExpr("id * id AS seq", "concat('t', id % 1700) AS text").repartition(7)
+    got = dedup.deduplicate(rows, "exact", "seq", kept=["seq"]).where("is_unique").orderBy("seq").collect()
+    assert [r.unique_index for r in got] == list(range(1, 1701)) and "text" not in got[0].asDict()
+
+
+def test_units_of_a_long_text_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 20_000, 160_000):
+        docs = spark.createDataFrame([(1, " ".join(f"w{k % 977}" for k in range(n)))], "doc_id int, text string")
+        began = time.perf_counter()
+        assert units.units_of_text(docs, "doc_id", "text").count() == n
+        took.append(time.perf_counter() - began)
+    assert took[2] < 12 * took[1] + 2
+
+
+@pytest.mark.parametrize("effect", ["replace", "fade", "blur", "noise", "blur_fade"])
+def test_colour_channels_are_degraded_apart(spark, effect):
+    """Each channel of a colour image is what the same grey image gives."""
+    rows = [(1, y, x, (y * 7 + x * 3) % 256) for y in range(12) for x in range(20)]
+    gray_ = spark.createDataFrame(rows, "image int, y int, x int, gray int")
+    colour = gray_.select("image", "y", "x", F.col("gray").alias("r"), F.lit(9).alias("g"), F.col("gray").alias("b"))
+    config = MaskConfig(effect=effect, opacity=0.7, fill="mean")
+    where = boxes(spark, (0, 0, 9, 9), (4, 4, 20, 12))
+    a = {(r.y, r.x): r.value for r in pixels.degrade(gray_, where, config).collect()}
+    b = {(r.y, r.x): r for r in pixels.degrade(colour, where, config).collect()}
+    if effect != "noise":
+        assert all(a[k] == b[k].r == b[k].b and b[k].g in (8, 9) for k in a)
+    else:
+        assert any(b[k].r != b[k].b for k in a)
+    outside = [(y, x) for _, y, x, _ in rows if not (y < 9 and x < 9) and not (y >= 4 and x >= 4)]
+    assert all((b[k].r, b[k].g) == (dict(((y, x), v) for _, y, x, v in rows)[k], 9) for k in outside[:20])
+
+
+def test_no_radius_no_blur(spark):
+    got = pixels.degrade(gray(spark, 100), boxes(spark, (0, 0, 4, 4)), MaskConfig(effect="blur", blur_radius=0))
+    assert {r.value for r in got.collect()} == {100}
