@@ -111,18 +111,20 @@ ORACLE_SQL = {
                   FROM sized z JOIN drawing d ON z.source IS NOT DISTINCT FROM d.source WHERE f > 0 AND size > 0)),
         beyond AS (SELECT * FROM ranked WHERE upto > rest),
         gap0 AS (SELECT source, max(rest - (upto - size)) AS gap FROM beyond GROUP BY source),
-        pick1 AS (SELECT b.source, first(struct_pack(size := size, doc_id := doc_id) ORDER BY size DESC, rank, doc_id) AS p
-                  FROM beyond b JOIN gap0 g ON b.source IS NOT DISTINCT FROM g.source WHERE size <= gap GROUP BY b.source),
-        gap1 AS (SELECT g.source, gap - coalesce(p.size, 0) AS gap FROM gap0 g LEFT JOIN pick1 k ON g.source IS NOT DISTINCT FROM k.source),
-        pick2 AS (SELECT b.source, first(struct_pack(size := size, doc_id := doc_id) ORDER BY size DESC, rank, doc_id) AS p
-                  FROM beyond b JOIN gap1 g ON b.source IS NOT DISTINCT FROM g.source
-                  WHERE size <= gap AND doc_id NOT IN (SELECT p.doc_id FROM pick1) GROUP BY b.source),
-        gap2 AS (SELECT g.source, gap - coalesce(p.size, 0) AS gap FROM gap1 g LEFT JOIN pick2 k ON g.source IS NOT DISTINCT FROM k.source),
-        pick3 AS (SELECT b.source, first(struct_pack(size := size, doc_id := doc_id) ORDER BY size DESC, rank, doc_id) AS p
-                  FROM beyond b JOIN gap2 g ON b.source IS NOT DISTINCT FROM g.source
-                  WHERE size <= gap AND doc_id NOT IN (SELECT p.doc_id FROM pick1 UNION ALL SELECT p.doc_id FROM pick2) GROUP BY b.source),
-        taken AS (SELECT doc_id FROM ranked WHERE upto <= rest
-                  UNION ALL SELECT p.doc_id FROM pick1 UNION ALL SELECT p.doc_id FROM pick2 UNION ALL SELECT p.doc_id FROM pick3)
+        sizes AS (
+            SELECT b.source, size, count(*) AS n, row_number() OVER (PARTITION BY b.source ORDER BY size DESC) AS k
+            FROM beyond b JOIN gap0 g ON b.source IS NOT DISTINCT FROM g.source WHERE size <= gap GROUP BY b.source, size),
+        fill AS (
+            SELECT source, 0::BIGINT AS k, gap, 0::BIGINT AS size, 0::BIGINT AS take FROM gap0
+            UNION ALL
+            SELECT source, k, gap - take * size, size, take
+            FROM (SELECT f.source, o.k, f.gap, o.size, CASE WHEN o.size <= f.gap THEN least(o.n, floor(f.gap / o.size)::BIGINT) ELSE 0 END AS take
+                  FROM fill f JOIN sizes o ON o.source IS NOT DISTINCT FROM f.source AND o.k = f.k + 1)),
+        filled AS (
+            SELECT b.doc_id
+            FROM (SELECT *, row_number() OVER (PARTITION BY source, size ORDER BY rank, doc_id NULLS FIRST) AS place FROM beyond) b
+            JOIN fill f ON b.source IS NOT DISTINCT FROM f.source AND b.size = f.size AND place <= take),
+        taken AS (SELECT doc_id FROM ranked WHERE upto <= rest UNION ALL SELECT doc_id FROM filled)
         SELECT z.doc_id, z.size, d.s AS source_size, d.target,
                (z.size * (d.copies + (z.doc_id IN (SELECT doc_id FROM taken))::BIGINT))::BIGINT AS taken,
                CASE WHEN z.size > 0 THEN d.copies + (z.doc_id IN (SELECT doc_id FROM taken))::BIGINT ELSE 0 END::INTEGER AS copies
@@ -139,73 +141,5 @@ ORACLE_SQL = {
         FROM pairs
         QUALIFY rank <= 20
     """,
-    "op9_license_scan": op9_license_scan,
-    "op10_pii": op10_pii,
-}
-
-ORACLE_SQL = {
-    "op2_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents
-        WINDOW w AS (PARTITION BY coalesce(text, ''))
-    """,
-    "op4_source_mixing": """
-        WITH RECURSIVE sized AS (
-            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-                   (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-            FROM documents),
-        sources AS (
-            SELECT source, s, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS w
-            FROM (SELECT source, sum(size)::BIGINT AS s FROM sized GROUP BY source)),
-        level AS (
-            SELECT min_by(struct_pack(l := l, h := h), k) AS x FROM (
-                SELECT row_number() OVER o AS k, s, w,
-                       sum(s) OVER () - coalesce(sum(3 * s) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l,
-                       sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h
-                FROM sources WINDOW o AS (ORDER BY (3 * s)::DOUBLE / w, source NULLS LAST))
-            WHERE l * w < 3 * s * h),
-        targets AS (
-            SELECT source, s, CASE WHEN w * x.l < 3 * s * x.h THEN (w * x.l)::DOUBLE / x.h::DOUBLE ELSE (3 * s)::DOUBLE END AS target
-            FROM sources, level),
-        drawing AS (
-            SELECT *, greatest(0.0::DOUBLE, target - copies * s) AS rest,
-                   CASE WHEN s > 0 THEN greatest(0.0::DOUBLE, target - copies * s) / s ELSE 0.0::DOUBLE END AS f
-            FROM (SELECT *, CASE WHEN s > 0 THEN least(3, floor(target / s))::BIGINT ELSE 0 END AS copies FROM targets)),
-        ranked AS (
-            SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto
-            FROM (SELECT z.*, d.rest, u * (1 - f) / (u * (1 - f) + f * (1 - u)) AS rank
-                  FROM sized z JOIN drawing d ON z.source IS NOT DISTINCT FROM d.source WHERE f > 0 AND size > 0)),
-        beyond AS (SELECT * FROM ranked WHERE upto > rest),
-        gap0 AS (SELECT source, max(rest - (upto - size)) AS gap FROM beyond GROUP BY source),
-        pick1 AS (SELECT b.source, first(struct_pack(size := size, doc_id := doc_id) ORDER BY size DESC, rank, doc_id) AS p
-                  FROM beyond b JOIN gap0 g ON b.source IS NOT DISTINCT FROM g.source WHERE size <= gap GROUP BY b.source),
-        gap1 AS (SELECT g.source, gap - coalesce(p.size, 0) AS gap FROM gap0 g LEFT JOIN pick1 k ON g.source IS NOT DISTINCT FROM k.source),
-        pick2 AS (SELECT b.source, first(struct_pack(size := size, doc_id := doc_id) ORDER BY size DESC, rank, doc_id) AS p
-                  FROM beyond b JOIN gap1 g ON b.source IS NOT DISTINCT FROM g.source
-                  WHERE size <= gap AND doc_id NOT IN (SELECT p.doc_id FROM pick1) GROUP BY b.source),
-        gap2 AS (SELECT g.source, gap - coalesce(p.size, 0) AS gap FROM gap1 g LEFT JOIN pick2 k ON g.source IS NOT DISTINCT FROM k.source),
-        pick3 AS (SELECT b.source, first(struct_pack(size := size, doc_id := doc_id) ORDER BY size DESC, rank, doc_id) AS p
-                  FROM beyond b JOIN gap2 g ON b.source IS NOT DISTINCT FROM g.source
-                  WHERE size <= gap AND doc_id NOT IN (SELECT p.doc_id FROM pick1 UNION ALL SELECT p.doc_id FROM pick2) GROUP BY b.source),
-        taken AS (SELECT doc_id FROM ranked WHERE upto <= rest
-                  UNION ALL SELECT p.doc_id FROM pick1 UNION ALL SELECT p.doc_id FROM pick2 UNION ALL SELECT p.doc_id FROM pick3)
-        SELECT z.doc_id, z.size, d.s AS source_size, d.target,
-               (z.size * (d.copies + (z.doc_id IN (SELECT doc_id FROM taken))::BIGINT))::BIGINT AS taken,
-               CASE WHEN z.size > 0 THEN d.copies + (z.doc_id IN (SELECT doc_id FROM taken))::BIGINT ELSE 0 END::INTEGER AS copies
-        FROM sized z JOIN drawing d ON z.source IS NOT DISTINCT FROM d.source
-    """,
-    "op7_exact_top_k": """
-        WITH whole AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        pairs AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-            FROM whole q JOIN whole c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
-        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
-        FROM pairs
-        QUALIFY rank <= 20
-    """,
     "op9_license_scan": licenses.oracle_sql(),
 }
