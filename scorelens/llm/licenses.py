@@ -9,7 +9,9 @@ ordered rules: the first rule that applies takes its sentences out, so a full li
 is reported as such and not as the notices inside it.
 
 Defined cases: null or empty text has no sentences and no licence; sentences that are known but
-belong to no rule in this order are reported in ``rest``; rows repeated give rows repeated.
+belong to no rule in this order are reported in ``rest``; a sentence that occurs again is found
+again; texts of any length are read as a whole; rows repeated give rows repeated; an empty table
+gives an empty result; further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -54,16 +56,77 @@ SENTENCES = {
     "cc0-ref": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "reserved": "All rights reserved",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "bsd-warranty": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "bsd-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+    "mit-style": "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file",
+    "gpl2-ref": "Licensed under the GNU General Public License, version 2",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl-received": "You should have received a copy of the GNU General Public License along with this program",
+    "lgpl-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "lgpl-details": "See the GNU Lesser General Public License for more details",
+    "lgpl3-ref": "Licensed under the GNU Lesser General Public License, version 3",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-details": "See the GNU Affero General Public License for more details",
+    "agpl3-ref": "Licensed under the GNU Affero General Public License, version 3",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "bsd0-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    "zlib-asis": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-ref": "Distributed under the Boost Software License, Version 1.0",
+    "epl-ref": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "cddl-ref": "The contents of this file are subject to the terms of the Common Development and Distribution License",
+    "ofl-ref": "This Font Software is licensed under the SIL Open Font License, Version 1.1",
+    "unlicense-any": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "cc0-ref-2": "This work is licensed under CC0 1.0 Universal",
 }
+#: Short names that stand in a tag, and further parts of Creative Commons licences.
+TAGGED = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 ISC Zlib BSL-1.0 EPL-2.0 CDDL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 Unlicense 0BSD OFL-1.1".split()
+COMMONS = {"BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+SENTENCES |= {f"tag-{n.lower()}": f"SPDX-License-Identifier: {n}" for n in TAGGED}
+SENTENCES |= {f"cc-{k.lower()}-ref": f"Licensed under CC {k} 4.0" for k in COMMONS}
+SENTENCES |= {f"cc-{k.lower()}-ref-2": f"This work is licensed under a Creative Commons {v} 4.0 International License" for k, v in COMMONS.items()}
 #: Ordered rules: identifiers in sequence, and the licence.  Earlier rules go first.
 RULES = [
     (("mit-title", "mit-grant", "mit-condition", "mit-warranty"), "MIT"),
     (("mit-grant", "mit-condition", "mit-warranty"), "MIT"),
     (("apache-notice", "apache-use", "apache-copy", "apache-asis", "apache-see"), "Apache-2.0"),
     (("apache-notice", "apache-use"), "Apache-2.0"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-warranty"), "BSD-3-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-name"), "BSD-3-Clause"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"), "BSD-2-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
+    (("gpl-free", "gpl-hope", "gpl-implied", "gpl-details", "gpl-received"), "GPL-3.0-or-later"),
     (("gpl-free", "gpl-hope", "gpl-implied", "gpl-details"), "GPL-3.0-or-later"),
+    (("gpl2-free", "gpl-hope", "gpl-implied", "gpl-details", "gpl-received"), "GPL-2.0-or-later"),
+    (("gpl2-free", "gpl-hope", "gpl-implied", "gpl-details"), "GPL-2.0-or-later"),
+    (("lgpl-free", "lgpl-hope", "gpl-implied", "lgpl-details"), "LGPL-2.1-or-later"),
+    (("agpl-free", "gpl-hope", "gpl-implied", "agpl-details"), "AGPL-3.0-or-later"),
+    (("isc-grant", "isc-warranty"), "ISC"),
+    (("bsd0-grant", "isc-warranty"), "0BSD"),
+    (("zlib-asis", "zlib-liable", "zlib-grant"), "Zlib"),
+    (("mpl-notice", "mpl-copy"), "MPL-2.0"),
+    (("unlicense", "unlicense-any"), "Unlicense"),
+    (("gpl2-free",), "GPL-2.0-or-later"),
+    (("gpl2-only",), "GPL-2.0-only"),
+    (("gpl2-ref",), "GPL-2.0-only"),
+    (("lgpl-free",), "LGPL-2.1-or-later"),
+    (("lgpl3-ref",), "LGPL-3.0-only"),
+    (("agpl-free",), "AGPL-3.0-or-later"),
+    (("agpl3-ref",), "AGPL-3.0-only"),
+    (("isc-grant",), "ISC"),
+    (("zlib-grant",), "Zlib"),
+    (("boost-ref",), "BSL-1.0"),
+    (("epl-ref",), "EPL-2.0"),
+    (("cddl-ref",), "CDDL-1.0"),
+    (("ofl-ref",), "OFL-1.1"),
+    (("bsd-style",), "BSD"),
+    (("mit-style",), "MIT"),
+    (("cc0-ref-2",), "CC0-1.0"),
     (("gpl-free",), "GPL-3.0-or-later"),
     (("apache-notice",), "Apache-2.0"),
     (("apache-ref",), "Apache-2.0"),
@@ -84,6 +147,8 @@ RULES = [
     (("unlicense",), "Unlicense"),
     (("reserved",), "LicenseRef-all-rights-reserved"),
 ]
+RULES += [((f"tag-{n.lower()}",), n) for n in TAGGED]
+RULES += [((f"cc-{k.lower()}-ref{more}",), f"CC-{k}-4.0") for k in COMMONS for more in ("", "-2")]
 BREAK = r"(?<=[.!?;])[ \t\r\n]+"
 #: What normalised text keeps of a sentence end and of a line end.
 STOP, LINE = "\x01", "\x02"

@@ -63,3 +63,45 @@ def test_not_inside_a_sentence(spark):
 def test_long_runs_of_other_characters(spark):
     texts = ["All rights reserved " + "-" * 2500, "All" + " " * 5000 + "rights reserved", "=" * 4000 + "\nAll rights reserved\n" + "=" * 4000]
     assert [r.sentence_ids for r in scanned(spark, texts)] == ["reserved"] * 3
+
+
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented
+"""
+
+
+@pytest.mark.parametrize("lead", ["", " * "])
+def test_more_licences(spark, lead):
+    texts = ["".join(lead + line + "\n" for line in t.splitlines()) for t in (LGPL, ISC, ZLIB, "SPDX-License-Identifier: GPL-2.0-or-later", "Licensed under CC BY-NC-SA 4.0.")]
+    got = scanned(spark, texts)
+    assert [r.licences for r in got] == ["LGPL-2.1-or-later", "ISC", "Zlib", "GPL-2.0-or-later", "CC-BY-NC-SA-4.0"] and all(r.rest == "" for r in got)
+
+
+def test_rules_name_known_sentences():
+    assert {i for ids, _ in licenses.RULES for i in ids} <= set(S)
+    assert len({licenses._key(s) for s in S.values()}) == len(S)
