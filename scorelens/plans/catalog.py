@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dedup, pixels, prefix, regions, scores, units
 from ..operators.regions import MaskConfig
-from ..sources import readers, writers
+from ..sources import payload, readers, report, writers
 from ..sources.shared import new_folder
 from ..streaming import unique
 from . import bindings as B
@@ -42,6 +42,7 @@ JSON_BOXES = [
     '{"x": "a", "y": 1, "w": 2, "h": 3, "box": [1, 2, 3, 4]}',
     '{"bbox": [5, 6, 7, 8], "box": [15, 16, 27, 28], "x": 1, "y": 2, "w": 3, "h": 4, "k": [30, 40, 50, 60]}',
 ]
+UNIT_SHOWN = ["unit_type", "text", "token_start", "token_end", "token_count", *units.UNIT_COLUMNS[9:]]
 #: Tokens that a careless CSV would spoil.
 AWKWARD = ["a,b", 'say "x"', "two\nlines", "back\\slash", " leading", "", "lone\rreturn"]
 
@@ -109,8 +110,7 @@ def _units(spark, sf):
 
 
 def unit_scores(spark, sf):
-    columns = ["unit_type", "text", "token_start", "token_end", "token_count", *(c for c in units.UNIT_COLUMNS[9:])]
-    return rounded(_units(spark, sf).select("response_id", "unit", *columns))
+    return rounded(_units(spark, sf).select("response_id", "unit", *UNIT_SHOWN))
 
 
 def unit_dependency_top(spark, sf):
@@ -310,9 +310,51 @@ def csv_roundtrip(spark, sf):
 
 
 def json_payload(spark, sf):
-    table = rounded(B.paired(spark, sf))
-    replies = table.groupBy("response_id").agg(F.lit("original").alias("label"), F.count(F.lit(1)).alias("num_tokens"))
-    return writers.payload(replies, table, ["token_index", "token_id", "p_original", "p_masked", "delta_logp"])
+    """Tokens as the JSON document of their response holds them, at its top and in the response."""
+    said = payload.responses(_full_table(spark, sf), None, "original_image_response", "original")
+    run = {"model_id": F.lit("recorded"), "privileged_info": payload.privileged("info.txt", "né")}
+    tokens = "token_scores array<struct<index:int, token_id:int, raw_token:string, p_original:double, top_token_changed:boolean>>"
+    schema = f"model_id string, privileged_info struct<num_chars:int, sha256:string>, generated_token_ids array<int>, {tokens}, responses struct<original_image_response:struct<label:string, {tokens.replace(' ', ':', 1)}>>"
+    got = payload.probe(said, None, run).select("response_id", F.from_json("payload", schema).alias("d"))
+    inner = F.col("d.responses.original_image_response")
+    got = got.select("response_id", "d.model_id", "d.privileged_info.num_chars", "d.privileged_info.sha256", inner["label"].alias("label"), F.size("d.generated_token_ids").alias("n"), (inner["token_scores"] == F.col("d.token_scores")).alias("same"), F.inline("d.token_scores"))
+    return rounded(got)
+
+
+def unit_csv(spark, sf):
+    """The columns of ``unit_scores``, through a unit table as CSV."""
+    table = _units(spark, sf).withColumn("index", F.col("unit"))
+    path = f"{new_folder(spark)}/word_probabilities.csv"
+    columns = ["response_id", *units.UNIT_COLUMNS]
+    writers.csv(table, path, columns)
+    kinds = {k: "string" if v.startswith("array") else v for k, v in table.dtypes}
+    got = readers.token_table(spark, path, ", ".join(f"`{c}` {kinds[c]}" for c in columns)).withColumnRenamed("index", "unit")
+    return rounded(got.select("response_id", "unit", *UNIT_SHOWN))
+
+
+def prefix_csv(spark, sf):
+    """Token tables as CSV, of which only the index and the id are read."""
+    path = f"{new_folder(spark)}/tokens.csv"
+    table = _prefixes(spark, sf).select("index", F.col("token_id").cast("int").alias("token_id"), F.lit('a "b",\nc').alias("raw_token"))
+    writers.csv(table, path, ["index", "raw_token", "token_id"])
+    return readers.prefix_rows(spark, path)
+
+
+def manifest_lines(spark, sf):
+    """A manifest of which most lines are broken."""
+    n = F.col("event_id")
+    good = F.to_json(F.struct(F.sha2("props", 256).alias("hash"), n.alias("unique_index"), F.lit("strip").alias("compare_mode")))
+    odd = [F.lit(""), F.lit("not json"), F.lit('{"hash": 5}'), F.substring(good, 1, 30), F.lit('["hash"]')]
+    line = F.get(F.array(good, *odd), (n % 6).cast("int"))
+    path = f"{new_folder(spark)}/manifest.jsonl"
+    B.read(spark, sf, "events").select(line.alias("value")).write.text(path)
+    return readers.manifest(spark, path, "strip")
+
+
+def table_rows(spark, sf):
+    """Rows of a report's table as HTML."""
+    table = _full_table(spark, sf)
+    return table.select(*scores.KEY, report.row(table, ["index", "token", "p_original", "delta_p", "top_token_changed"]).alias("html"))
 
 
 QUERIES = {
@@ -322,5 +364,6 @@ QUERIES = {
         piece_types, token_units, unit_scores, unit_dependency_top, compact_labels, dedup_resume, dedup_stream, prefix_validity, prefix_splice,
         forced_ids_parsed, trailing_trim, chat_messages, privileged_prompts, patch_grid, region_clip, region_sample, dark_threshold, text_lines,
         word_boxes_detected, word_boxes_json, degrade_patches, degrade_overlap, degrade_colour, gray_from_colour, patch_mask_colour, mask_record, mask_metadata, html_escaped, report_hue, plot_ticks, csv_roundtrip, json_payload,
+        unit_csv, prefix_csv, manifest_lines, table_rows,
     )
 } | {"dedup_exact": _dedup("exact"), "dedup_strip": _dedup("strip"), "dedup_collapse": _dedup("collapse-space")} | {f"degrade_{n}": _degraded(c) for n, c in (("white", WHITE), ("noise_fill", NOISE_FILL), ("noise", NOISE), ("blur", BLUR))}

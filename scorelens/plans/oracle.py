@@ -244,4 +244,14 @@ ORACLE_SQL = {
             round(logp_original, 6) AS logp_original, round(logp_masked, 6) AS logp_masked, {_no_sign("delta_logp")} AS delta_logp, top_token_id_original, {_shown("top_raw_token_original")} AS top_token_original,
             top_raw_token_original, round(top_p_original, 6) AS top_p_original, round(top_logp_original, 6) AS top_logp_original, top_token_id_masked, {_shown("top_raw_token_masked")} AS top_token_masked,
             top_raw_token_masked, round(top_p_masked, 6) AS top_p_masked, round(top_logp_masked, 6) AS top_logp_masked, top_token_changed, target_is_top_original, target_is_top_masked FROM raw""",
+    "prefix_csv": "SELECT l_linenumber - 1 AS index, l_partkey::INTEGER AS token_id FROM lineitem",
+    "manifest_lines": "SELECT sha256(props) AS hash, event_id AS unique_index, 'strip' AS compare_mode FROM events WHERE event_id % 6 = 0",
+}
+_RAW = ORACLE_SQL["csv_roundtrip"][: ORACLE_SQL["csv_roundtrip"].index("SELECT response_id, token_index AS index")]
+ORACLE_SQL |= {
+    "unit_csv": ORACLE_SQL["unit_scores"],
+    "json_payload": f"""{_RAW} SELECT response_id, 'recorded' AS model_id, 2 AS num_chars, sha256('né') AS sha256, 'original_image_response' AS label,
+        (count(*) OVER (PARTITION BY response_id))::INTEGER AS n, true AS same, token_index AS index, token_id, raw_token, round(p_original, 6) AS p_original, top_token_changed FROM raw""",
+    "table_rows": f"""{_RAW} SELECT response_id, token_index, '<tr><td>' || token_index || '</td><td>' || replace(replace(replace(replace(replace({_shown("raw_token")}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')
+        || '</td><td>' || printf('%.6f', p_original) || '</td><td>' || printf('%+.6f', delta_p) || '</td><td>' || CASE WHEN top_token_changed THEN 'yes' ELSE 'no' END || '</td></tr>' AS html FROM raw""",
 }

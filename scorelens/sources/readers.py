@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.regions import box_to_region, boxes_of_json
+from .shared import exists
 
 CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
 
@@ -63,8 +64,6 @@ def hashes_of_lines(lines: DataFrame, mode: str | None = None) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str, mode: str | None = None) -> DataFrame:
     """The manifest below ``path``; one that does not exist is empty."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, path):
         return spark.createDataFrame([], "hash string, unique_index bigint, compare_mode string")
     return hashes_of_lines(spark.read.text(path), mode)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+from .shared import write_bytes
+
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": "", "lineSep": "\r\n"}
 
 
 def csv(table: DataFrame, path: str, columns: list[str]) -> None:
@@ -34,34 +35,40 @@ def json_lines(table: DataFrame, path: str) -> None:
     table.write.mode("append").json(path)
 
 
-def payload(responses: DataFrame, scores: DataFrame, columns: list[str], pretty: bool = False) -> DataFrame:
-    """response_id, payload: one JSON document per response with its tokens in order, the whole
-    response also at the top level."""
-    tokens = scores.groupBy("response_id").agg(F.array_sort(F.collect_list(F.struct("token_index", *[c for c in columns if c != "token_index"]))).alias("tokens"))
-    whole = responses.join(tokens, "response_id")
-    fields = [c for c in whole.columns if c != "response_id"]
-    nested = F.struct(F.struct(*fields).alias("original_image_response"))
-    body = F.to_json(F.struct("response_id", nested.alias("responses"), *fields), {"pretty": "true"} if pretty else None)
-    return whole.select("response_id", body.alias("payload"))
+def documents(table: DataFrame, path: str, column: str) -> None:
+    """Each response's text in a folder of its own, response_id=N."""
+    table.select("response_id", F.col(column).cast("string").alias("value")).write.mode("overwrite").partitionBy("response_id").text(path)
+
+
+def json_file(spark: SparkSession, path: str, record: dict) -> None:
+    """One small record, to any store that Spark knows; overwritten."""
+    write_bytes(spark, path, (json.dumps(record, indent=2, ensure_ascii=False) + "\n").encode())
+
 
+def compact_json(record: dict) -> str:
+    return json.dumps(record, ensure_ascii=False)
 
-def config_json(path: str, config: dict) -> None:
+
+def config_json(spark: SparkSession, path: str, config: dict) -> None:
     """Settings of a run; overwritten at every start.  Sampling settings are null unless sampling."""
     if not config.get("do_sample"):
         config = config | {"temperature": None, "top_p": None}
-    Path(path).write_text(json.dumps(config, indent=2, ensure_ascii=False), encoding="utf-8")
+    json_file(spark, path, config)
+
+
+def merged(columns: dict[str, Column], more: dict[str, Column]) -> Column:
+    """A record of both; of equal names the later value counts, in the earlier place."""
+    return F.struct(*(v.alias(k) for k, v in (columns | more).items()))
 
 
 def unique_name(index: int) -> str:
     return f"unique_{index:06d}"
 
 
-def unique_response(folder: str, index: int, text_: str, metadata: dict) -> None:
+def unique_response(spark: SparkSession, folder: str, index: int, text_: str, metadata: dict) -> None:
     """A unique response as text, and with its metadata as JSON."""
-    base = Path(folder)
-    base.mkdir(parents=True, exist_ok=True)
-    (base / f"{unique_name(index)}.txt").write_text(text_, encoding="utf-8")
-    (base / f"{unique_name(index)}.json").write_text(json.dumps(metadata | {"text": text_}, indent=2, ensure_ascii=False), encoding="utf-8")
+    write_bytes(spark, f"{folder}/{unique_name(index)}.txt", text_.encode())
+    json_file(spark, f"{folder}/{unique_name(index)}.json", metadata | {"text": text_})
 
 
 def rgb_image(rows: DataFrame, path: str) -> None:
@@ -76,6 +83,4 @@ def rgb_image(rows: DataFrame, path: str) -> None:
     def chunk(kind: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))
+    write_bytes(rows.sparkSession, path, b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))

@@ -1,6 +1,9 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from scorelens.operators import scores, units
 from scorelens.plans import catalog, cli
 from scorelens.sources import readers, report, writers
 from scorelens.streaming import unique
@@ -43,14 +46,14 @@ def test_stream_resumes(spark, tmp_path):
     assert [(r.name, r.text) for r in named] == [("unique_000001", "a"), ("unique_000002", "b"), ("unique_000003", "c"), ("unique_000004", "d")]
 
 
-def test_unique_response(tmp_path):
-    writers.unique_response(str(tmp_path / "u"), 7, "né", {"hash": "h"})
+def test_unique_response(spark, tmp_path):
+    writers.unique_response(spark, str(tmp_path / "u"), 7, "né", {"hash": "h"})
     assert (tmp_path / "u/unique_000007.txt").read_text() == "né"
     assert '"né"' in (tmp_path / "u/unique_000007.json").read_text()
 
 
-def test_config_nulls(tmp_path):
-    writers.config_json(str(tmp_path / "c.json"), {"do_sample": False, "temperature": 0.7, "top_p": 0.9})
+def test_config_nulls(spark, tmp_path):
+    writers.config_json(spark, str(tmp_path / "c.json"), {"do_sample": False, "temperature": 0.7, "top_p": 0.9})
     assert '"temperature": null' in (tmp_path / "c.json").read_text()
 
 
@@ -71,7 +74,8 @@ def test_probe_command(spark, tmp_path):
     out = str(tmp_path / "out")
     cli.run_probe(spark, cli.parser().parse_args(["probe", "--logits", str(tmp_path / "l"), "--masked-logits", str(tmp_path / "m"), "--vocab", str(tmp_path / "v"), "--output-dir", out]))
     assert spark.read.options(**readers.CSV).csv(f"{out}/word_probabilities.csv").count() == 5
-    assert "<table>" in spark.read.json(f"{out}/token_probabilities_html").first().html
+    page = spark.read.text(f"{out}/token_probabilities.html", wholetext=True).first()
+    assert "<table>" in page.value and page.response_id == 1
 
 
 def test_word_boxes(spark, tmp_path):
@@ -88,8 +92,16 @@ def test_force_continue_command(spark, tmp_path):
     out = str(tmp_path / "out")
     args = ["force-continue", "--prefix-token-csv", str(tmp_path / "p.csv"), "--prefix-end-index", "1", "--force-token-ids", "2, 0", "--vocab", str(tmp_path / "v"), "--next-logits", str(tmp_path / "z"), "--top-k", "2", "--output-dir", out]
     cli.run_force_continue(spark, cli.parser().parse_args(args))
-    assert spark.read.text(f"{out}/forced_prefix.txt").first().value == "b,,a"
-    assert [r.token_id for r in spark.read.json(f"{out}/next_token").orderBy("rank").collect()] == [2, 1]
+    read = lambda n: (tmp_path / "out" / n).read_text()
+    assert read("forced_prefix.txt") == "b,,a" and read("continuation.txt") == "" and read("full_forced_output.txt") == "b,,a"
+    result = json.loads(read("result.json"))
+    assert [x["token_id"] for x in result["next_token_before_force"]["top_tokens"]] == [2, 1]
+    assert [x["token_id"] for x in result["next_token_before_force"]["inspected_tokens"]] == [2, 0]
+    assert result["forced_tokens"] == [{"token_id": 2, "token": ","}, {"token_id": 0, "token": "a"}]
+    spark.createDataFrame([(0, 0, 1), (0, 1, 0), (0, 2, 1)], "response_id int, token_index int, token_id int").write.parquet(str(tmp_path / "c"))
+    cli.run_force_continue(spark, cli.parser().parse_args([*args, "--continuation", str(tmp_path / "c"), "--special-ids", "1"]))
+    result = json.loads(read("result.json"))
+    assert result["continuation_token_ids"] == [1, 0] and result["full_token_count"] == 6 and read("full_forced_output.txt") == ",,aa"
 
 
 def test_unique_loop_command(spark, tmp_path):
@@ -97,13 +109,57 @@ def test_unique_loop_command(spark, tmp_path):
     out = str(tmp_path / "out")
     cli.run_unique_loop(spark, cli.parser().parse_args(["unique-loop", "--responses", str(tmp_path / "r"), "--output-dir", out, "--no-do-sample"]))
     assert unique.manifest(spark, out).count() == 1
-    assert '"temperature":null' in spark.read.text(f"{out}/config").first().value
+    config = json.loads((tmp_path / "out/config.json").read_text())
+    assert config["temperature"] is None and config["compare_mode"] == "strip" and config["max_new_tokens"] == 1024
+    assert list(config) == ["created_at", "model_id", "image", "output_dir", "max_new_tokens", "do_sample", "temperature", "top_p", "compare_mode", "seed", "min_pixels", "max_pixels", "image_patch_size", "enable_thinking"]
+
 
+def test_num_runs(spark, tmp_path):
+    spark.createDataFrame([(k, f"t{k % 4}") for k in range(20)], "seq long, text string").repartition(5).write.parquet(str(tmp_path / "r"))
+    out = str(tmp_path / "out")
+    cli.run_unique_loop(spark, cli.parser().parse_args(["unique-loop", "--responses", str(tmp_path / "r"), "--output-dir", out, "--num-runs", "6", "--sleep-seconds", "0.5"]))
+    assert unique.runs_log(spark, out).count() == 6
 
-def test_payload_repeats_the_response(spark):
-    import json
 
-    scores = spark.createDataFrame([(1, 1, 7, 0.5), (1, 0, 5, 0.25)], "response_id int, token_index int, token_id int, p double")
-    replies = spark.createDataFrame([(1, "original")], "response_id int, label string")
-    got = json.loads(writers.payload(replies, scores, ["token_index", "token_id", "p"], pretty=True).first().payload)
-    assert got["tokens"] == got["responses"]["original_image_response"]["tokens"] == [{"token_index": 0, "token_id": 5, "p": 0.25}, {"token_index": 1, "token_id": 7, "p": 0.5}]
+def test_manifest_is_gathered(spark, tmp_path, monkeypatch):
+    """More batches than are kept apart; numbers and hashes go on over the gathering."""
+    monkeypatch.setattr(unique, "COMPACT", 2)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(7):
+        spark.createDataFrame([(2 * k, f"n{k}"), (2 * k + 1, "n0")], "seq long, text string").coalesce(1).write.mode("append").parquet(source)
+        unique.unique_loop(spark.readStream.schema("seq long, text string").parquet(source), out).awaitTermination()
+    got = unique.runs_log(spark, out).where("is_unique").orderBy("seq").collect()
+    assert [(r.text, r.unique_index) for r in got] == [(f"n{k}", k + 1) for k in range(7)]
+    assert unique.manifest(spark, out).count() == 7 and len(list((tmp_path / "out/manifest_until").glob("batch=*"))) == 2
+
+
+def test_probe_of_two_responses_with_an_image(spark, tmp_path):
+    """Every artifact: images, both responses' texts, tables, pages and charts, one JSON document."""
+    image = spark.createDataFrame([(y, x, 10 * y, 200, 3 * x) for y in range(20) for x in range(30)], "y int, x int, r int, g int, b int")
+    writers.rgb_image(image, str(tmp_path / "a.png"))
+    for name, n in (("l", 5), ("m", 5), ("sl", 3), ("sm", 3)):
+        rows = [(1, k, k % 3, [0.1 * k + len(name), 1.0, -1.0]) for k in range(n)]
+        spark.createDataFrame(rows, "response_id long, token_index int, token_id int, z array<double>").write.parquet(str(tmp_path / name))
+    spark.createDataFrame([(0, "<a>"), (1, " b"), (2, ",")], "token_id int, raw_token string").write.parquet(str(tmp_path / "v"))
+    (tmp_path / "info.txt").write_text("the answer")
+    out = str(tmp_path / "out")
+    args = ["probe", "--vocab", str(tmp_path / "v"), "--output-dir", out, "--image", str(tmp_path / "a.png"), "--prompt", "what <is> it?", "--patch-size", "8", "--mask-fill", "black", "--privileged-info-file", str(tmp_path / "info.txt")]
+    for option, name in (("--logits", "l"), ("--masked-logits", "m"), ("--second-logits", "sl"), ("--second-masked-logits", "sm")):
+        args += [option, str(tmp_path / name)]
+    cli.run_probe(spark, cli.parser().parse_args(args))
+    got = json.loads(spark.read.text(f"{out}/token_probabilities.json", wholetext=True).first().value)
+    want = "model_id prompt original_image_path masked_image_path original_condition_label masked_condition_label privileged_info mask_metadata responses generated_text generated_token_ids token_scores word_scores masked_generated_text masked_generated_token_ids masked_token_scores masked_word_scores"
+    assert list(got) == want.split()
+    assert got["generated_text"] == "<a> b,<a> b" and got["masked_generated_text"] == "<a> b,"
+    assert got["responses"]["masked_image_response"]["token_scores"] == got["masked_token_scores"] and len(got["word_scores"]) == 5
+    assert list(got["token_scores"][0]) == scores.TOKEN_COLUMNS and list(got["word_scores"][0]) == units.UNIT_COLUMNS
+    assert got["privileged_info"]["num_chars"] == 10 and got["masked_condition_label"] == "masked image + privileged info"
+    assert got["mask_metadata"]["grid_width"] == 4 and got["mask_metadata"]["num_candidates"] == 12 and len(got["mask_metadata"]["selected_regions"]) == 4
+    page = spark.read.text(f"{out}/masked_response_word_probabilities.html", wholetext=True).first().value
+    assert "what &lt;is&gt; it?" in page and "<a>" not in page and "num_word_units" in page
+    assert "<svg" in spark.read.text(f"{out}/token_probabilities.svg", wholetext=True).first().value
+    before, after = (readers.pixels(readers.images(spark, f"{out}/{n}.png")).drop("image") for n in ("original", "masked"))
+    assert before.exceptAll(image).isEmpty() and 0 < after.exceptAll(image).count() < 600
+    cli.run_probe(spark, cli.parser().parse_args([*args, "--skip-masked-generation", "--group-tokens", "none"]))
+    got = json.loads(spark.read.text(f"{out}/token_probabilities.json", wholetext=True).first().value)
+    assert "masked_image_response" not in got["responses"] and "masked_generated_text" not in got and got["word_scores"] == []
