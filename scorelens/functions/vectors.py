@@ -42,7 +42,3 @@ def ranked(z: Column, k: int) -> Column:
 def safe_exp(v: Column) -> Column:
     """exp with fixed ends: 0 below -745, infinity above 700."""
     return F.when(v < -745, F.lit(0.0)).when(v > 700, F.lit(float("inf"))).otherwise(F.exp(v))
-
-
-def half_even(v: Column) -> Column:
-    return F.rint(v)

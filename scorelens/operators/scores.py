@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..sources.shared import cut
 
 KEY = ["response_id", "token_index"]
+#: Rows of a vocabulary that may be broadcast (about 64 MB).
+VOCABULARY = 1_000_000
 #: Column order of a token table, as in its CSV form.
 TOKEN_COLUMNS = [
     "index", "token_id", "token", "raw_token", "p_original", "p_masked", "delta_p", "logp_original", "logp_masked", "delta_logp",
@@ -77,13 +80,16 @@ def vocabulary(pieces: DataFrame, size: int) -> DataFrame:
 def decoded(tokens: DataFrame, vocab: DataFrame, ids: dict[str, str], entry: str | None = None) -> DataFrame:
     """Adds raw and shown pieces for columns of ids: {id column: suffix of the new columns}.
 
-    A vocabulary is of fixed size, so it is broadcast.  An empty piece falls back to the column
-    ``entry`` of the vocabulary, if named.
+    The vocabulary is written and counted first, and broadcast if it has at most VOCABULARY rows;
+    beyond that the join shuffles.  An empty piece falls back to the column ``entry`` of the
+    vocabulary, if named.
     """
+    vocab = cut(vocab)
+    few = vocab.count() <= VOCABULARY
     piece = F.coalesce(F.nullif("raw_token", F.lit("")), F.col(entry)) if entry else F.col("raw_token")
     for column, suffix in ids.items():
         own = vocab.select(F.col("token_id").alias("v_id"), piece.alias("v_piece"))
-        tokens = tokens.join(F.broadcast(own), tokens[column] == F.col("v_id"), "left").drop("v_id")
+        tokens = tokens.join(F.broadcast(own) if few else own, tokens[column] == F.col("v_id"), "left").drop("v_id")
         tokens = tokens.withColumnRenamed("v_piece", f"raw_token{suffix}").withColumn(f"token{suffix}", T.display(F.col(f"raw_token{suffix}")))
     return tokens
 

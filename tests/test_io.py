@@ -163,3 +163,21 @@ def test_probe_of_two_responses_with_an_image(spark, tmp_path):
     cli.run_probe(spark, cli.parser().parse_args([*args, "--skip-masked-generation", "--group-tokens", "none"]))
     got = json.loads(spark.read.text(f"{out}/token_probabilities.json", wholetext=True).first().value)
     assert "masked_image_response" not in got["responses"] and "masked_generated_text" not in got and got["word_scores"] == []
+
+
+def test_merged_records(spark):
+    got = spark.range(1).select(writers.merged({"a": F.lit(1), "b": F.lit(2)}, {"b": F.lit(3), "c": F.lit("x")}).alias("x")).first().x
+    assert list(got.asDict().items()) == [("a", 1), ("b", 3), ("c", "x")]
+
+
+def test_large_vocabulary_is_not_broadcast(spark, monkeypatch):
+    tokens = spark.createDataFrame([(0, 0, 1), (0, 1, 9)], "response_id int, token_index int, token_id int")
+    vocab = spark.createDataFrame([(k, f"p{k}") for k in range(5)], "token_id int, raw_token string")
+    want = sorted(map(str, scores.decoded(tokens, vocab, {"token_id": ""}).collect()))
+    monkeypatch.setattr(scores, "VOCABULARY", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = scores.decoded(tokens, vocab, {"token_id": ""})
+        assert sorted(map(str, got.collect())) == want and "SortMergeJoin" in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
