@@ -41,7 +41,7 @@ WORDS = 1 << 18
 PRIOR, STRENGTH = 0.5, 4.0
 TOKENS = 1 << 20
 #: Bytes of text for each bucket.
-BUCKET_BYTES = 1 << 24
+BUCKET_BYTES = 10 << 20
 #: Ids of target documents that may be broadcast (16 MB); more are joined by shuffling texts once.
 BROADCAST_IDS = 1_000_000
 
@@ -98,12 +98,13 @@ def _keys(parts: list[tuple[np.ndarray, bytes]]) -> pa.Array:
 
 @dataclass
 class Batch:
-    """Documents by numbers: ``words`` are distinct, ``codes`` numbers in them by token."""
+    """Documents by numbers: ``home`` holds the bucket of each distinct word, ``codes`` numbers of
+    words by token.  The words themselves are kept apart, as only messages need them."""
 
     ids: list
     marks: list
     lengths: np.ndarray
-    words: list
+    home: np.ndarray
     codes: np.ndarray
 
     @classmethod
@@ -111,30 +112,34 @@ class Batch:
         *parts, planes = _unpack(data)
         return cls(*parts, _unplaned(planes))
 
+    def packed(self) -> bytes:
+        return _pack(self.ids, self.marks, _narrow(self.lengths), _narrow(self.home), _planes(self.codes))
+
     def __post_init__(self) -> None:
         self.codes, self.lengths = self.codes.astype(np.int64), self.lengths.astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.later = np.ones(len(self.codes), bool)
         self.later[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = False
         after = np.nonzero(self.later)[0]
-        self.pairs, self.pair = np.unique(self.codes[after - 1] * max(1, len(self.words)) + self.codes[after], return_inverse=True)
+        self.pairs, self.pair = np.unique(self.codes[after - 1] * max(1, len(self.home)) + self.codes[after], return_inverse=True)
 
     def dealt(self, buckets: int) -> tuple[list, list]:
-        """Order of words and of pairs by bucket, and where each bucket starts and ends there."""
-        n, h = max(1, len(self.words)), _hashes(self.words)
-        of = [(x % np.uint64(buckets)).astype(np.int64) for x in (h, _mixed(h[self.pairs // n], h[self.pairs % n]))]
+        """Order of words and of pairs by bucket, and where each bucket starts and ends there.  A
+        pair's bucket follows from those of its words."""
+        n, h = max(1, len(self.home)), self.home.astype(np.uint64)
+        of = [self.home.astype(np.int64), (_mixed(h[self.pairs // n], h[self.pairs % n]) % np.uint64(buckets)).astype(np.int64)]
         order = [np.argsort(x, kind="stable") for x in of]
         return order, [np.searchsorted(x[o], np.arange(buckets + 1)) for x, o in zip(of, order, strict=True)]
 
     def counts(self) -> list[list[np.ndarray]]:
         """Of words and of pairs: in documents with a mark, and in all."""
         mark = np.array(self.marks, bool)[self.doc]
-        return [[np.bincount(c, m, n).astype(np.int64) for m in (k, None)] for c, k, n in ((self.codes, mark, len(self.words)), (self.pair, mark[self.later], len(self.pairs)))]
+        return [[np.bincount(c, m, n).astype(np.int64) for m in (k, None)] for c, k, n in ((self.codes, mark, len(self.home)), (self.pair, mark[self.later], len(self.pairs)))]
 
-    def messages(self, buckets: int, counted: bool) -> Iterator[tuple[int, bytes]]:
+    def messages(self, words: list[bytes], buckets: int, counted: bool) -> Iterator[tuple[int, bytes]]:
         """For each bucket its words and its pairs: lengths, bytes, counts (none if not counted)."""
         order, ends = self.dealt(buckets)
-        n, words = max(1, len(self.words)), pa.array(self.words, pa.large_binary())
+        n, words = max(1, len(words)), pa.array(words, pa.large_binary())
         v, w = (words.take(pa.array(x)) for x in (self.pairs[order[1]] // n, self.pairs[order[1]] % n))
         keys = [_buffers(words.take(pa.array(order[0]))), _buffers(pc.binary_join_element_wise(v, w, pa.scalar(b" ", pa.large_binary())))]
         sums = [[x[o] for x in c] for c, o in zip(self.counts(), order, strict=True)] if counted else [[], []]
@@ -147,18 +152,20 @@ class Batch:
                 yield b, _pack(*parts)
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
-    """From rows of (doc_id, text, is_target)."""
+def _batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[Batch, list[bytes]]]:
+    """From rows of (doc_id, text, is_target); with the words of each batch."""
     ids, marks, lengths, codes, code = [], [], [], [], {}
     n = 0
 
-    def made() -> Batch:
+    def made() -> tuple[Batch, list[bytes]]:
         """Frequent words get small numbers, which pack better."""
         numbers, words = np.array(codes, np.int64), list(code)
         order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        return Batch(ids, marks, np.array(lengths, np.int64), [words[k] for k in order], place[numbers])
+        words = [words[k] for k in order]
+        home = (_hashes(words) % np.uint64(buckets)).astype(np.int64)
+        return Batch(ids, marks, np.array(lengths, np.int64), home, place[numbers]), words
 
     for b in batches:
         for i, text, mark in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
@@ -193,19 +200,19 @@ class Models:
     background: int
 
 
-BATCHES = "batch long, target long, background long, data binary"
+BATCHES = "batch long, target long, background long, data binary, words binary"
 MESSAGES = "bucket int, batch long, counted boolean, asks boolean, data binary"
 ANSWERS = "bucket int, batch long, n_words long, data binary"
 
 
-def _written(rows: DataFrame) -> DataFrame:
+def _written(rows: DataFrame, buckets: int, base: int = 0) -> DataFrame:
     """Batches of rows (doc_id, text, is_target), with their numbers of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        for k, b in enumerate(_batches(batches)):
+        first = base + (TaskContext.get().partitionId() << 32)
+        for k, (b, words) in enumerate(_batches(batches, buckets)):
             target = int(b.lengths[np.array(b.marks, bool)].sum())
-            yield _rows({"batch": pa.int64(), "target": pa.int64(), "background": pa.int64(), "data": pa.binary()}, [(first + k, target, len(b.codes), _pack(b.ids, b.marks, _narrow(b.lengths), b.words, _planes(b.codes)))])
+            yield _rows({"batch": pa.int64(), "target": pa.int64(), "background": pa.int64(), "data": pa.binary(), "words": pa.binary()}, [(first + k, target, len(b.codes), b.packed(), _pack(words))])
 
     return cut(rows.mapInArrow(run, BATCHES))
 
@@ -215,10 +222,10 @@ def _messages(batches: DataFrame, buckets: int, counted: bool, asks: bool) -> Da
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows:
-            for batch, data in zip(r["batch"].to_pylist(), r["data"], strict=True):
-                yield _rows(names, [(k, batch, counted, asks, m) for k, m in Batch.of(data).messages(buckets, counted)])
+            for batch, data, words in zip(r["batch"].to_pylist(), r["data"], r["words"], strict=True):
+                yield _rows(names, [(k, batch, counted, asks, m) for k, m in Batch.of(data).messages(*_unpack(words), buckets, counted)])
 
-    return batches.select("batch", "data").mapInArrow(run, MESSAGES)
+    return batches.select("batch", "data", "words").mapInArrow(run, MESSAGES)
 
 
 def _answers(messages: DataFrame) -> DataFrame:
@@ -250,7 +257,7 @@ def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     ids = if_few(targets.select(F.col(id_col).alias("t_id")).where(F.col("t_id").isNotNull()).distinct(), BROADCAST_IDS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id_"))
     buckets = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES + 1
-    batches = _written(rows.join(ids, F.col("id_") == F.col("t_id"), "left").select("doc_id", "text", F.col("t_id").isNotNull().alias("is_target")))
+    batches = _written(rows.join(ids, F.col("id_") == F.col("t_id"), "left").select("doc_id", "text", F.col("t_id").isNotNull().alias("is_target")), buckets)
     n = batches.agg(F.sum("target"), F.sum("background")).first()
     return Models(docs, (id_col, text_col), batches, buckets, n[0] or 0, n[1] or 0)
 
@@ -265,7 +272,7 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
         batches = models.batches
         messages = _messages(batches, buckets, True, True)
     else:
-        batches = _written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(False).alias("is_target")))
+        batches = _written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(False).alias("is_target")), buckets, 1 << 62)
         messages = _messages(models.batches, buckets, True, False).union(_messages(batches, buckets, False, True))
     found = _answers(messages)
     vocabulary = max(WORDS, found.agg(F.sum("n_words")).first()[0] or 0)
@@ -273,7 +280,7 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
     def scored(table: pa.Table) -> pa.Table:
         parts = dict(zip(table["bucket"].to_pylist(), table["data"], strict=True))
         b = Batch.of(parts.pop(None))
-        word, pair = np.zeros((2, len(b.words))), np.zeros((2, len(b.pairs)))
+        word, pair = np.zeros((2, len(b.home))), np.zeros((2, len(b.pairs)))
         (words, pairs), ends = b.dealt(buckets)
         for k, data in parts.items():
             one, two = words[ends[0][k] : ends[0][k + 1]], pairs[ends[1][k] : ends[1][k + 1]]
