@@ -4,7 +4,8 @@ A target model (documents of a given label) and a background model (all document
 and pairs of a word with the one before, as they are, over one shared vocabulary: every word of
 the corpus, with WORDS places at least (places without a word are for words not met).  Counts
 cover every document.  The background's are scaled to the target's total, so that both smooth
-alike.  p(w | v) mixes the pair's count with p(w): (n(v w) + STRENGTH p(w)) / (n(v) + STRENGTH).
+alike.  A document that was counted is scored by what all others count: its own counts are taken
+out first, so that neither model has seen it.  p(w | v) mixes the pair's count with p(w): (n(v w) + STRENGTH p(w)) / (n(v) + STRENGTH).
 Over all w, and the chance that a text ends after v, this adds up to 1.
 
 Documents are read in batches of about TOKENS words, which are written to the shared folder.
@@ -131,6 +132,15 @@ class Batch:
         order = [np.argsort(x, kind="stable") for x in of]
         return order, [np.searchsorted(x[o], np.arange(buckets + 1)) for x, o in zip(of, order, strict=True)]
 
+    def own(self) -> np.ndarray:
+        """For each token how often its document has its word, and its pair (0 for first words)."""
+        out = np.zeros((2, len(self.codes)))
+        _, at, n = np.unique(self.doc * max(1, len(self.home)) + self.codes, return_inverse=True, return_counts=True)
+        out[0] = n[at]
+        _, at, n = np.unique(self.doc[self.later] * max(1, len(self.pairs)) + self.pair, return_inverse=True, return_counts=True)
+        out[1, self.later] = n[at]
+        return out
+
     def counts(self) -> list[list[np.ndarray]]:
         """Of words and of pairs: in documents with a mark, and in all."""
         mark = np.array(self.marks, bool)[self.doc]
@@ -287,18 +297,18 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
             word[0][one], word[1][one], pair[0][two], pair[1][two] = _unpack(data)
         if known:
             word, pair = (more + np.array(own) for more, own in zip((word, pair), b.counts(), strict=True))
-        if totals[0]:
-            word[1] *= totals[0] / totals[1]
-            pair[1] *= totals[0] / totals[1]
-        else:
+        if not totals[0]:
             word[0], pair[0] = word[1], pair[1]
-        total, n, before = totals[0] or totals[1], np.maximum(b.lengths, 1), b.codes[np.nonzero(b.later)[0] - 1]
+        n, own = np.maximum(b.lengths, 1), known * b.own()
+        mark = np.array(b.marks, bool) if totals[0] else np.ones(len(n), bool)
+        before, later = b.codes[np.nonzero(b.later)[0] - 1], np.nonzero(b.later)[0]
         losses = []
-        for count, both in zip(word, pair, strict=True):
-            base = (count + PRIOR) / (total + PRIOR * vocabulary)
+        for count, both, total, counted, scale in zip(word, pair, (totals[0] or totals[1], totals[1]), (mark, np.ones(len(n), bool)), (1.0, (totals[0] or totals[1]) / max(1, totals[1])), strict=True):
+            mine = own * counted[b.doc]
             seen, context = np.zeros((2, len(b.codes)))
-            seen[b.later], context[b.later] = both[b.pair], count[before]
-            loss = -np.log((seen + STRENGTH * base[b.codes]) / (context + STRENGTH))
+            base = ((count[b.codes] - mine[0]) * scale + PRIOR) / ((total - known * (b.lengths * counted)[b.doc]) * scale + PRIOR * vocabulary)
+            seen[later], context[later] = (both[b.pair] - mine[1][later]) * scale, (count[before] - mine[0][later - 1]) * scale
+            loss = -np.log((seen + STRENGTH * base) / (context + STRENGTH))
             losses.append(np.bincount(b.doc, loss, len(n)) / n)
         t, g = losses
         return pa.table([pa.array(b.ids, pa.int64()), pa.array(b.lengths), *map(pa.array, (t, g, t - g))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])

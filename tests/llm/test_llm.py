@@ -380,6 +380,27 @@ def test_drop_toxic_keeps_columns(spark):
 # --- language models
 
 
+class Slow:
+    """A model of some documents, in dictionaries; ``scale`` matches its size."""
+
+    def __init__(self, split, ids, scale, vocabulary):
+        self.word, self.pair, self.ends = Counter(), Counter(), Counter()
+        for k in ids:
+            self.word.update(split[k])
+            self.pair.update(zip(split[k], split[k][1:], strict=False))
+            self.ends.update(split[k][-1:])
+        self.total, self.scale, self.vocabulary = sum(self.word.values()), scale, vocabulary
+
+    def base(self, w):
+        return (self.word[w] * self.scale + lm_scoring.PRIOR) / (self.total * self.scale + lm_scoring.PRIOR * self.vocabulary)
+
+    def p(self, v, w):
+        return (self.pair[v, w] * self.scale + lm_scoring.STRENGTH * self.base(w)) / (self.word[v] * self.scale + lm_scoring.STRENGTH)
+
+    def loss(self, words):
+        return (-math.log(self.base(words[0])) - sum(math.log(self.p(v, w)) for v, w in zip(words, words[1:], strict=False))) / len(words)
+
+
 def test_losses_against_counting(spark):
     rows = [r[:2] for r in corpus(5, 40)]
     docs = documents(spark, rows)
@@ -387,23 +408,15 @@ def test_losses_against_counting(spark):
     models = lm_scoring.fit(docs, spark.createDataFrame([(k,) for k in target], "doc_id long"))
     got = {r.doc_id: r for r in lm_scoring.score(docs, models).collect()}
     split = {k: t.split() for k, t in rows}
-    sizes = [sum(len(split[k]) for k in ids) for ids in (target, set(split))]
-    for ids, scale, name in ((target, 1, "target_loss"), (set(split), sizes[0] / sizes[1], "background_loss")):
-        word, pair, ends = Counter(), Counter(), Counter()
-        for k in ids:
-            word.update(split[k])
-            pair.update(zip(split[k], split[k][1:], strict=False))
-            ends.update(split[k][-1:])
-        base = lambda w: (word[w] * scale + lm_scoring.PRIOR) / (sizes[0] + lm_scoring.PRIOR * lm_scoring.WORDS)
-        p = lambda v, w: (pair[v, w] * scale + lm_scoring.STRENGTH * base(w)) / (word[v] * scale + lm_scoring.STRENGTH)
-        every = set().union(*split.values())
-        unseen = (lm_scoring.WORDS - len(every)) * base("not met")
-        for v in list(every)[:20]:
-            over = sum(p(v, w) for w in every) + lm_scoring.STRENGTH * unseen / (word[v] * scale + lm_scoring.STRENGTH)
-            assert over + ends[v] * scale / (word[v] * scale + lm_scoring.STRENGTH) == pytest.approx(1)
-        for k, _ in rows[:20]:
-            loss = -math.log(base(split[k][0])) - sum(math.log(p(v, w)) for v, w in zip(split[k], split[k][1:], strict=False))
-            assert got[k][name] == pytest.approx(loss / len(split[k]), rel=1e-9)
+    scale = sum(len(split[k]) for k in target) / sum(map(len, split.values()))
+    for k, _ in rows[:20]:
+        for ids, by, name in ((target, 1, "target_loss"), (set(split), scale, "background_loss")):
+            m = Slow(split, ids - {k}, by, lm_scoring.WORDS)  # without the document itself
+            assert got[k][name] == pytest.approx(m.loss(split[k]), rel=1e-9)
+    every, m = set().union(*split.values()), Slow(split, target, 1, lm_scoring.WORDS)
+    for v in list(every)[:20]:
+        unseen = (lm_scoring.WORDS - len(every)) * m.p(v, "not met")
+        assert sum(m.p(v, w) for w in every) + unseen + m.ends[v] / (m.word[v] + lm_scoring.STRENGTH) == pytest.approx(1)
     assert np.mean([got[k].score for k in target]) < np.mean([got[k].score for k, _ in rows if k not in target])
 
 
@@ -421,21 +434,17 @@ def test_losses_of_many_words(spark, monkeypatch):
     seen = {w for words in split.values() for w in words}
     assert len(seen) > lm_scoring.WORDS and models.buckets > 4
     got = {x.doc_id: x for x in lm_scoring.score(docs, models).collect()}
-    sizes = [sum(len(split[k]) for k in ids) for ids in (target, set(split))]
-    for ids, scale, name in ((target, 1, "target_loss"), (set(split), sizes[0] / sizes[1], "background_loss")):
-        word, pair = Counter(), Counter()
-        for k in ids:
-            word.update(split[k])
-            pair.update(zip(split[k], split[k][1:], strict=False))
-        base = {w: (word[w] * scale + lm_scoring.PRIOR) / (sizes[0] + lm_scoring.PRIOR * len(seen)) for w in seen}
-        assert sum(base.values()) == pytest.approx(1)
+    other = [(7, rows[3][1]), (8, "the cat ran away"), (9, None)]
+    apart = {x.doc_id: x for x in lm_scoring.score(documents(spark, other), models).collect()}
+    scale = sum(len(split[k]) for k in target) / sum(map(len, split.values()))
+    for ids, by, name in ((target, 1, "target_loss"), (set(split), scale, "background_loss")):
         for k in (0, 1, 59, 100, 101, 102):
-            loss = -math.log(base[split[k][0]])
-            for v, w in zip(split[k], split[k][1:], strict=False):
-                loss -= math.log((pair[v, w] * scale + lm_scoring.STRENGTH * base[w]) / (word[v] * scale + lm_scoring.STRENGTH))
-            assert got[k][name] == pytest.approx(loss / len(split[k]), rel=1e-9)
-    apart = {x.doc_id: x for x in lm_scoring.score(docs.where("doc_id < 102"), models).collect()}
-    assert len(apart) == len(rows) - 1 and all(apart[k].score == pytest.approx(got[k].score, abs=1e-12) for k in apart)
+            assert got[k][name] == pytest.approx(Slow(split, ids - {k}, by, len(seen)).loss(split[k]), rel=1e-9)
+        whole = Slow(split, ids, by, len(seen))  # of documents that were not counted nothing is taken out
+        assert sum(whole.base(w) for w in seen) == pytest.approx(1)
+        for k, t in other[:2]:
+            assert apart[k][name] == pytest.approx(whole.loss(t.split()), rel=1e-9)
+    assert apart[9].n_tokens == 0 and apart[9].score == 0
 
 
 def test_lm_edges(spark):
