@@ -75,6 +75,8 @@ CUES = {
 AGAINST = "order|version|isbn|invoice|item|ref|id|build|serial|section|date|score|time|hash"
 FEATURES = ("kind", "length", "digits", "letters", "separators", "cue", "against", "luhn", "spelt", "groups", "touches", "follows", "top_level", "parts")
 EXAMPLES = 4_000
+#: Characters of a text from which parts are taken.
+STRETCH = 4_096
 TREES, DEPTH, RATE = 40, 3, 0.3
 PRECISION = 0.9
 
@@ -373,19 +375,40 @@ def _kinded(spans: str, kind: str) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text with each span replaced by its kind in brackets; of overlapping spans the
-    one that starts first is replaced and the others go with what remains of them."""
+    """doc_id, text with each span replaced by its kind in brackets; overlapping spans are replaced
+    together, by the kind of the one that starts first.
+
+    A text is cut into stretches of STRETCH characters once, from which the parts between spans
+    are taken, as a place in a long text is only found by reading up to it.
+    """
     found = personal_data(docs, id_col, text_col)
     every = F.array_sort(F.concat(*(_kinded(f"{w}_{k}", k) for w in ("base", "added") for k in KINDS)))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    text = F.col("text")
+    numbered = F.transform(every, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), i.alias("i")))
+    rows = found.select("doc_id", "text", numbered.alias("spans"), F.length("text").alias("n"))
+    rows = rows.withColumn("parts", F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))))
+
+    def between(a: Column, e: Column) -> Column:
+        def one(k: Column) -> Column:
+            low = F.greatest(a - k * STRETCH, F.lit(0))
+            return F.substr(F.get("parts", k), low + 1, F.least(e - k * STRETCH, F.lit(STRETCH)) - low)
+
+        places = F.sequence(F.floor(a / STRETCH).cast("int"), F.floor((e - 1) / STRETCH).cast("int"))
+        return F.when(e > a, F.array_join(F.transform(places, one), "")).otherwise("")
+
+    # Spans that no earlier one overlaps open a place; it ends where the last of those before the next ends.
+    rows = _apart(rows.withColumn("heads", F.col("spans")), "heads", "spans", lambda x, b: b["i"] < x["i"])
+
+    def place(x: Column, k: Column) -> Column:
+        own = F.slice("spans", x["i"] + 1, F.coalesce(F.get("heads", k + 1)["i"], F.size("spans")) - x["i"])
+        return F.struct(x["start"].alias("start"), F.array_max(F.transform(own, lambda y: y["end"])).alias("end"), x["kind"].alias("kind"))
 
-    def step(s: Column, x: Column) -> Column:
-        inside = x["start"] < s["at"]
-        kept = F.when(inside, F.lit("")).otherwise(F.concat(F.substr(text, s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]")))
-        return F.struct(F.concat(s["out"], kept).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
+    def shown(x: Column, k: Column) -> Column:
+        before = F.when(k > 0, F.get("places", k - 1)["end"]).otherwise(F.lit(0))
+        return F.concat(between(before, x["start"]), F.lit("["), x["kind"], F.lit("]"))
 
-    return found.select("doc_id", F.aggregate(every, start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1))).alias("text"))
+    rows = rows.withColumn("places", F.transform("heads", place))
+    whole = F.concat(F.array_join(F.transform("places", shown), ""), between(F.element_at("places", -1)["end"], F.col("n")))
+    return rows.select("doc_id", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")).alias("text"))
 
 
 def digests(found: DataFrame) -> DataFrame:

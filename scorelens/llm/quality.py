@@ -13,7 +13,9 @@ hash of id and block.  Held-out rows are never used.
 
 Defined cases: a null or empty text has measure 0 and the score that belongs to it; unusable
 labels are left out; without labels of both classes every score is the share of good labels
-(0.5 without any); repeated rows give repeated rows.
+(0.5 without any); a text of any length is compressed as a whole, block by block; equal texts get
+equal scores; repeated rows give repeated rows; an empty table gives an empty result; further
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

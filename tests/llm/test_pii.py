@@ -95,6 +95,20 @@ def test_long_directory(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     r = pii.digests(pii.personal_data(docs)).first()
     assert r.n_email == 10_000 and len(r.spans.split(",")) > 20_000
+    spans = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in r.spans.split(",")))
+    want, at = [], 0
+    for a, b, kind in spans:
+        if a >= at:
+            want += [text[at:a], f"[{kind}]"]
+        at = max(at, b)
+    assert pii.redact(docs).first().text == "".join([*want, text[at:]])
+
+
+def test_redaction_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(pii, "STRETCH", 5)
+    texts = ["ab x@y.org cd 1.2.3.4", "x@y.org", "é😀 +1 415 555 1234 5678 😀😀😀 me@a.bc", "nothing here"]
+    got = [r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert got == ["ab [email] cd [ip]", "[email]", "é😀 [phone] 😀😀😀 [email]", "nothing here"]
 
 
 def test_accepted(spark):
