@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, pixels, prefix, regions, scores, units
+from ..operators import dedup, generate, pixels, prefix, regions, scores, units
 from ..operators.regions import MaskConfig
 from ..sources import payload, readers, report, writers
-from ..sources.shared import new_folder
+from ..sources.shared import cut, new_folder
 from ..streaming import unique
 from . import bindings as B
 from .oracle import ORACLE_SQL
@@ -351,6 +351,35 @@ def manifest_lines(spark, sf):
     return readers.manifest(spark, path, "strip")
 
 
+def _bundle(spark, sf):
+    """The first 64 vectors are what follows each id of the vocabulary."""
+    table = B.read(spark, sf, "embeddings").where(F.col("vec_id") < B.VOCABULARY).select(F.col("vec_id").alias("last_id"), F.col("embedding").alias("z"))
+    return generate.Bundle(cut(B.vocabulary(spark, sf)), generate.table_model(table), tuple(B.SPECIALS), (B.SPECIALS[0],))
+
+
+def prompt_ids(spark, sf):
+    """Prompts as ids: their number, how many are known, and all of them."""
+    said = B.read(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    got = generate.prompt_inputs(said, B.vocabulary(spark, sf), "id", "text", B.VOCABULARY)
+    known = F.size(F.filter("input_ids", lambda t: t < B.VOCABULARY)).alias("known")
+    return got.select("id", F.size("attention_mask").alias("n"), known, F.array_join(F.transform("input_ids", lambda t: t.cast("string")), ",").alias("ids"))
+
+
+def _first_ids(spark, sf):
+    return B.read(spark, sf, "part").select("p_partkey", F.array((F.col("p_partkey") % B.VOCABULARY).cast("int")).alias("input_ids")).withColumn("attention_mask", F.array(F.lit(1)))
+
+
+def generate_greedy(spark, sf):
+    got = generate.from_prompts(_first_ids(spark, sf), _bundle(spark, sf), "p_partkey", 12)
+    return got.select("p_partkey", F.array_join(F.transform("token_ids", lambda t: t.cast("string")), ",").alias("ids"), "text")
+
+
+def generate_prefilled(spark, sf):
+    got = generate.from_prefilled(_first_ids(spark, sf), F.array(F.lit(5), (F.col("p_partkey") % 7).cast("int")), _bundle(spark, sf), "p_partkey", 8)
+    joined = lambda c: F.array_join(F.transform(c, lambda t: t.cast("string")), ",").alias(c)
+    return got.select("p_partkey", joined("continuation_ids"), "continuation_text", joined("full_ids"), "full_text")
+
+
 def table_rows(spark, sf):
     """Rows of a report's table as HTML."""
     table = _full_table(spark, sf)
@@ -364,6 +393,6 @@ QUERIES = {
         piece_types, token_units, unit_scores, unit_dependency_top, compact_labels, dedup_resume, dedup_stream, prefix_validity, prefix_splice,
         forced_ids_parsed, trailing_trim, chat_messages, privileged_prompts, patch_grid, region_clip, region_sample, dark_threshold, text_lines,
         word_boxes_detected, word_boxes_json, degrade_patches, degrade_overlap, degrade_colour, gray_from_colour, patch_mask_colour, mask_record, mask_metadata, html_escaped, report_hue, plot_ticks, csv_roundtrip, json_payload,
-        unit_csv, prefix_csv, manifest_lines, table_rows,
+        unit_csv, prefix_csv, manifest_lines, table_rows, prompt_ids, generate_greedy, generate_prefilled,
     )
 } | {"dedup_exact": _dedup("exact"), "dedup_strip": _dedup("strip"), "dedup_collapse": _dedup("collapse-space")} | {f"degrade_{n}": _degraded(c) for n, c in (("white", WHITE), ("noise_fill", NOISE_FILL), ("noise", NOISE), ("blur", BLUR))}

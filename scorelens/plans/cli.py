@@ -5,8 +5,10 @@
     python -m scorelens.plans.cli force-continue --prefix-token-csv P --prefix-end-index N --force-token-ids 1,2 --vocab V --output-dir OUT
 
 A model's logits come as a table (response_id, token_index, token_id, z), its vocabulary as
-(token_id, raw_token), a continuation as (response_id, token_index, token_id).  Options that steer
-a model are taken and recorded; without a model they change nothing.
+(token_id, raw_token), a continuation as (response_id, token_index, token_id).  A model itself may
+come as a table (last_id, z) of what follows each id: force-continue goes on with it, and unique-loop
+draws its responses from it.  Options that steer a model are taken and recorded; without one they
+change nothing.
 
 Artifacts of a response lie in a folder of their own, response_id=N, below the artifact's name.
 """
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import pixels, prefix, scores, units
+from ..operators import generate, pixels, prefix, scores, units
 from ..operators import regions as R
 from ..sources import payload, readers, report, writers
 from ..sources.shared import read_text
@@ -91,7 +93,10 @@ def parser() -> argparse.ArgumentParser:
     probe.add_argument("--skip-masked-generation", action="store_true")
     _mask_options(probe)
     loop = sub.add_parser("unique-loop")
-    loop.add_argument("--responses", required=True)
+    loop.add_argument("--responses", default=None, help="table (seq, text); or --model-table and --vocab, from which --num-runs responses are drawn")
+    loop.add_argument("--vocab", default=None)
+    loop.add_argument("--model-table", default=None)
+    loop.add_argument("--special-ids", default="")
     loop.add_argument("--output-dir", default="outputs/unique_loop")
     _model_options(loop, 1024)
     loop.add_argument("--num-runs", type=int, default=0)
@@ -107,6 +112,8 @@ def parser() -> argparse.ArgumentParser:
     force.add_argument("--vocab", required=True)
     force.add_argument("--next-logits", default=None)
     force.add_argument("--continuation", default=None)
+    force.add_argument("--model-table", default=None, help="what follows each id, to go on where there is no --continuation")
+    force.add_argument("--seed", type=int, default=7)
     force.add_argument("--special-ids", default="", help="ids that texts leave out, comma-separated")
     force.add_argument("--top-k", type=int, default=20)
     force.add_argument("--output-dir", default="outputs/force_continue")
@@ -194,8 +201,29 @@ def run_probe(spark: SparkSession, a: argparse.Namespace) -> None:
     print(f"-> {out}")
 
 
+def _ids(value: str) -> tuple[int, ...]:
+    return tuple(int(x) for x in value.split(",") if x.strip())
+
+
+def _sampling(a: argparse.Namespace) -> dict:
+    return {"do_sample": a.do_sample, "temperature": a.temperature, "top_p": a.top_p, "seed": 7 if a.seed is None else a.seed}
+
+
+def drawn_responses(spark: SparkSession, a: argparse.Namespace) -> str:
+    """Writes ``num_runs`` responses to the prompt, each with draws of its own; where they lie."""
+    specials = _ids(a.special_ids)
+    model = generate.bundle(spark, a.vocab, a.model_table, specials, specials[:1])
+    prompt = generate.prompt_inputs(spark.createDataFrame([(0, a.prompt)], "id int, text string"), model.vocabulary, "id", "text", -1).first().input_ids
+    inputs = spark.range(1, max(1, a.num_runs) + 1).select(F.col("id").alias("seq"), F.lit(prompt).cast("array<int>").alias("input_ids"))
+    generate.from_prompts(inputs, model, "seq", a.max_new_tokens, **_sampling(a)).select("seq", "text").write.mode("overwrite").parquet(f"{a.output_dir}/responses")
+    return f"{a.output_dir}/responses"
+
+
 def run_unique_loop(spark: SparkSession, a: argparse.Namespace) -> None:
     out = a.output_dir
+    if not a.responses and not (a.model_table and a.vocab):
+        raise ValueError("give --responses, or --model-table and --vocab")
+    a.responses = a.responses or drawn_responses(spark, a)
     kept = ("model_id", "image", "output_dir", "max_new_tokens", "do_sample", "temperature", "top_p", "compare_mode", "seed", "min_pixels", "max_pixels", "image_patch_size", "enable_thinking")
     writers.config_json(spark, f"{out}/config.json", {"created_at": datetime.now(UTC).isoformat()} | {k: getattr(a, k) for k in kept})
     print(f"Output directory: {out}\nLoaded {unique.manifest(spark, out).count()} previous unique response hashes.")
@@ -217,9 +245,14 @@ def run_force_continue(spark: SparkSession, a: argparse.Namespace) -> None:
     out = a.output_dir
     ids = prefix.checked_prefix(readers.prefix_rows(spark, a.prefix_token_csv), a.prefix_end_index)
     forced = spark.range(1).select(prefix.parse_ids(F.lit(a.force_token_ids)).alias("ids")).first().ids
-    specials = [int(x) for x in a.special_ids.split(",") if x.strip()]
+    specials = list(_ids(a.special_ids))
     vocab = spark.read.parquet(a.vocab)
     more: list[int] = []
+    if a.model_table and not a.continuation:
+        model = generate.bundle(spark, a.vocab, a.model_table, tuple(specials), tuple(specials[:1]))
+        start = generate.prompt_inputs(spark.createDataFrame([(0, a.prompt)], "response_id int, text string"), vocab, "response_id", "text", -1)
+        found = generate.from_prefilled(start, F.array(*map(F.lit, ids + forced)), model, "response_id", a.max_new_tokens, **_sampling(a))
+        more = found.first().continuation_ids
     if a.continuation:
         rows = scores.trim_tail(scores.limited(spark.read.parquet(a.continuation).where("response_id = 0"), a.max_new_tokens), specials)
         more = [r.token_id for r in rows.orderBy("token_index").select("token_id").collect()]

@@ -132,6 +132,23 @@ def _blur(column: str) -> str:
             WHERE q.image = p.image AND q.y = p.y AND q.x = greatest(0, least(width - 1, p.x + d)) GROUP BY ALL)"""
 
 
+#: What follows, likeliest first, until id 0 or as many as asked for; special ids at the end go.
+GREEDY = """follows AS (
+        SELECT vec_id AS last, list_position(embedding, list_max(embedding)) - 1 AS next FROM embeddings WHERE vec_id < 64),
+    steps AS (
+        {start}
+        UNION ALL
+        SELECT s.p_partkey, f.next, s.n + 1, s.ids || [f.next::BIGINT] FROM steps s JOIN follows f ON s.last = f.last WHERE s.n < {most} AND (s.n = 0 OR s.last <> 0)),
+    last_ AS (SELECT p_partkey, max_by(ids, n) AS ids FROM steps GROUP BY p_partkey),
+    trimmed AS (SELECT p_partkey, ids[1:coalesce(list_max(list_transform(generate_series(1, len(ids)), lambda k: CASE WHEN ids[k] NOT IN (0, 2) THEN k END)), 0)] AS kept FROM last_)"""
+
+
+def _said(ids: str) -> str:
+    """The stripped pieces of a list of ids, special ones left out."""
+    raw = f"coalesce((SELECT string_agg(raw_token, '' ORDER BY k) FROM (SELECT unnest({ids}) AS t, generate_subscripts({ids}, 1) AS k) JOIN vocab ON t = token_id WHERE t NOT IN (0, 2)), '')"
+    return _strip(raw)
+
+
 ORACLE_SQL = {
     "token_log_softmax": f"WITH {ORIGINAL}, {_stats('original', 'so')} SELECT response_id, token_index, token_id, round(logp, 6) AS logp, round(p, 6) AS p FROM so",
     "token_argmax": f"WITH {ORIGINAL}, {_stats('original', 'so')} SELECT response_id, token_index, top_token_id, round(top_logp, 6) AS top_logp, round(top_p, 6) AS top_p FROM so",
@@ -254,4 +271,14 @@ ORACLE_SQL |= {
         (count(*) OVER (PARTITION BY response_id))::INTEGER AS n, true AS same, token_index AS index, token_id, raw_token, round(p_original, 6) AS p_original, top_token_changed FROM raw""",
     "table_rows": f"""{_RAW} SELECT response_id, token_index, '<tr><td>' || token_index || '</td><td>' || replace(replace(replace(replace(replace({_shown("raw_token")}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')
         || '</td><td>' || printf('%.6f', p_original) || '</td><td>' || printf('%+.6f', delta_p) || '</td><td>' || CASE WHEN top_token_changed THEN 'yes' ELSE 'no' END || '</td></tr>' AS html FROM raw""",
+    "prompt_ids": f"""WITH {VOCAB}, said AS (
+            SELECT id, unnest(p) AS piece, generate_subscripts(p, 1) AS pos
+            FROM (SELECT conv_id * 100 + turn AS id, regexp_extract_all(text, '{PIECE}') AS p FROM conversations WHERE role = 'user'))
+        SELECT id, count(*)::INTEGER AS n, count(token_id)::INTEGER AS known, string_agg(coalesce(token_id, 64), ',' ORDER BY pos) AS ids
+        FROM said LEFT JOIN vocab ON said.piece = vocab.raw_token GROUP BY id""",
+    "generate_greedy": f"""WITH RECURSIVE {VOCAB}, {GREEDY.format(start="SELECT p_partkey, p_partkey % 64 AS last, 0 AS n, []::BIGINT[] AS ids FROM part", most=12)}
+        SELECT p_partkey, array_to_string(kept, ',') AS ids, {_said("kept")} AS text FROM trimmed""",
+    "generate_prefilled": f"""WITH RECURSIVE {VOCAB}, {GREEDY.format(start="SELECT p_partkey, p_partkey % 7 AS last, 0 AS n, []::BIGINT[] AS ids FROM part", most=8)},
+        whole AS (SELECT p_partkey, kept, [5::BIGINT, p_partkey % 7] || kept AS every FROM trimmed)
+        SELECT p_partkey, array_to_string(kept, ',') AS continuation_ids, {_said("kept")} AS continuation_text, array_to_string(every, ',') AS full_ids, {_said("every")} AS full_text FROM whole""",
 }

@@ -181,3 +181,27 @@ def test_large_vocabulary_is_not_broadcast(spark, monkeypatch):
         assert sorted(map(str, got.collect())) == want and "SortMergeJoin" in got._jdf.queryExecution().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _model(spark, tmp_path):
+    spark.createDataFrame([(0, ""), (1, " a"), (2, "b"), (3, " c")], "token_id int, raw_token string").write.parquet(str(tmp_path / "v"))
+    spark.createDataFrame([(0, [0.0, 9.0, 0.0, 0.0]), (1, [0.0, 0.0, 2.0, 1.0]), (2, [0.0, 0.0, 0.0, 5.0]), (3, [9.0, 0.0, 0.0, 0.0])], "last_id int, z array<double>").write.parquet(str(tmp_path / "t"))
+    return ["--vocab", str(tmp_path / "v"), "--model-table", str(tmp_path / "t"), "--special-ids", "0", "--output-dir", str(tmp_path / "out")]
+
+
+def test_force_continue_with_a_model(spark, tmp_path):
+    writers.csv(spark.createDataFrame([(0, 3), (1, 2)], "index int, token_id int"), str(tmp_path / "p.csv"), ["index", "token_id"])
+    args = ["force-continue", *_model(spark, tmp_path), "--prefix-token-csv", str(tmp_path / "p.csv"), "--prefix-end-index", "1", "--force-token-ids", "1"]
+    cli.run_force_continue(spark, cli.parser().parse_args(args))
+    result = json.loads((tmp_path / "out/result.json").read_text())
+    assert result["continuation_token_ids"] == [2, 3] and result["full_token_count"] == 5
+    assert (tmp_path / "out/full_forced_output.txt").read_text() == "cb ab c"
+
+
+def test_unique_loop_with_a_model(spark, tmp_path):
+    args = ["unique-loop", *_model(spark, tmp_path), "--num-runs", "40", "--max-new-tokens", "6", "--prompt", "b", "--seed", "3", "--temperature", "1.5"]
+    cli.run_unique_loop(spark, cli.parser().parse_args(args))
+    out = str(tmp_path / "out")
+    assert unique.runs_log(spark, out).count() == 40 and 1 <= unique.manifest(spark, out).count() <= 40
+    with pytest.raises(ValueError):
+        cli.run_unique_loop(spark, cli.parser().parse_args(["unique-loop"]))

@@ -255,3 +255,49 @@ def test_colour_channels_are_degraded_apart(spark, effect):
 def test_no_radius_no_blur(spark):
     got = pixels.degrade(gray(spark, 100), boxes(spark, (0, 0, 4, 4)), MaskConfig(effect="blur", blur_radius=0))
     assert {r.value for r in got.collect()} == {100}
+
+
+def _words_model(spark):
+    from scorelens.operators import generate
+
+    vocab = spark.createDataFrame([(0, ""), (1, " a"), (2, "b"), (3, " c")], "token_id int, raw_token string")
+    table = spark.createDataFrame([(0, [0.0, 9.0, 0.0, 0.0]), (1, [0.0, 0.0, 2.0, 1.0]), (2, [0.0, 0.0, 0.0, 5.0]), (3, [7.0, 0.0, 0.0, 0.0])], "last_id int, z array<double>")
+    return generate.Bundle(vocab, generate.table_model(table), (0,), (0,))
+
+
+def test_generation(spark):
+    from scorelens.operators import generate
+
+    model = _words_model(spark)
+    inputs = spark.createDataFrame([(k, [k % 4], [1]) for k in range(12)] + [(99, [77], [1])], "id int, input_ids array<int>, attention_mask array<int>").repartition(3)
+    got = {r.id: (r.token_ids, r.text) for r in generate.from_prompts(inputs, model, "id", 10).collect()}
+    assert got[0] == ([1, 2, 3], "ab c") and got[3] == ([], "") and got[2] == ([3], "c") and got[99] == ([], "")
+    got = {r.id: r for r in generate.from_prefilled(inputs, F.array(F.lit(3), F.lit(1)), model, "id", 1).collect()}
+    assert (got[5].continuation_ids, got[5].continuation_text, got[5].full_ids, got[5].full_text) == ([2], "b", [3, 1, 2], "c ab")
+    with pytest.raises(Exception, match="no tokens"):
+        generate.from_prefilled(inputs, F.array().cast("array<int>"), model, "id", 1).collect()
+
+
+def test_sampling(spark):
+    """The same for every run; a small top_p is greedy; frequencies follow the logits."""
+    from scorelens.operators import generate
+
+    model = _words_model(spark)
+    inputs = spark.createDataFrame([(k, [1], [1]) for k in range(4000)], "id int, input_ids array<int>, attention_mask array<int>")
+    first = lambda **k: {r.id: tuple(r.token_ids) for r in generate.generated(inputs, model, "id", 1, do_sample=True, **k).collect()}
+    a = first(temperature=0.7, top_p=0.95)
+    assert a == {r.id: tuple(r.token_ids) for r in generate.generated(inputs.repartition(5), model, "id", 1, do_sample=True, temperature=0.7, top_p=0.95).collect()}
+    assert set(first(top_p=0.01).values()) == {(2,)}
+    got, total = first(), sum(math.exp(x) for x in (0, 0, 2, 1))
+    for t, z in ((1, 0), (2, 2), (3, 1)):
+        assert abs(sum(x == (t,) for x in got.values()) / 4000 - math.exp(z) / total) < 0.03
+    assert first(temperature=0.01).values() and set(first(temperature=0.01).values()) == {(2,)}
+
+
+def test_prompt_inputs(spark):
+    from scorelens.operators import generate
+
+    vocab = spark.createDataFrame([(0, "Hell"), (1, "o"), (2, ",")], "token_id int, raw_token string")
+    rows = spark.createDataFrame([(1, "Hello, o"), (2, ""), (3, None)], "id int, text string")
+    got = {r.id: (r.input_ids, r.attention_mask) for r in generate.prompt_inputs(rows, vocab, "id", "text", 9).collect()}
+    assert got == {1: ([0, 1, 2, 9], [1, 1, 1, 1]), 2: ([], []), 3: ([], [])}
