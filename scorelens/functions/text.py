@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The code points that count as white space.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORD = r"\p{L}\p{N}_"
 #: A tokeniser that covers every character: short word pieces, single spaces, other pairs.
 PIECE = rf"[ \n]?[{WORD}]{{1,4}}|[{SPACE}]|[^{WORD}{SPACE}]{{1,2}}"
@@ -14,9 +15,8 @@ COMPARE_MODES = ("exact", "strip", "collapse-space")
 
 
 def strip(text: Column) -> Column:
-    """Without white space at either end.  The end is found by one match over the whole text, as a
-    search for it would try every run of white space."""
-    return F.when(text.rlike(rf"[^{SPACE}]"), F.regexp_extract(text, rf"(?s)^[{SPACE}]*+(.*[^{SPACE}])", 1)).when(text.isNotNull(), "")
+    """Without white space at either end."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:

@@ -20,7 +20,7 @@ UNIT_COLUMNS = [
 def starts_unit(kind: Column, piece: Column, kind_before: Column) -> Column:
     """Whether a token opens a unit: the first, anything next to white space, one that begins
     with a space, line end or tab, or one of another type than the token before."""
-    return kind_before.isNull() | (kind_before == "space") | (kind == "space") | piece.rlike(r"^[ \n\t]") | (kind != kind_before)
+    return kind_before.isNull() | (kind_before == "space") | (kind == "space") | F.left(piece, F.lit(1)).isin(" ", "\n", "\t") | (kind != kind_before)
 
 
 def shown_text(kind: Column, raw: Column) -> Column:
