@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 BOX = ["x1", "y1", "x2", "y2"]
 STRATEGIES, EFFECTS, FILLS = ("patch", "word"), ("replace", "fade", "blur", "noise", "blur_fade"), ("mean", "black", "white", "noise")
@@ -180,18 +180,19 @@ def iter_boxes(data):
             todo += reversed([v for k, v in value.items() if k not in BOX_KEYS])
 
 
-@udtf(returnType="nth: int, box: array<double>")
-class JsonBoxes:
-    """The boxes of a JSON text; none for text that is not JSON or holds a malformed box."""
-
-    def eval(self, text: str):
-        try:
-            found = list(iter_boxes(json.loads(text)))
-        except (TypeError, ValueError):
-            return
-        yield from enumerate(found)
+def _boxes(text: str | None) -> list[list[float]]:
+    try:
+        return list(iter_boxes(json.loads(text)))
+    except (TypeError, ValueError):
+        return []
 
 
 def boxes_of_json(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """``documents`` with a row for each box of its JSON: columns nth and box."""
-    return documents.lateralJoin(JsonBoxes(F.col(text_col).outer()))
+    """``documents`` with a row for each box of its JSON: columns nth and box.  Text that is not
+    JSON, or holds a malformed box, gives none.  Texts go to Python in Arrow batches."""
+
+    @F.pandas_udf("array<array<double>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(_boxes)
+
+    return documents.select("*", F.posexplode(found(F.col(text_col))).alias("nth", "box"))

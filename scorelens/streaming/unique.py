@@ -8,6 +8,8 @@ leaves the same rows, and reads only the batches before it.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,7 +56,8 @@ def compact(spark: SparkSession, folder: str, number: int) -> None:
 
 
 def runs_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Every response of the stream with hash, is_unique and unique_index."""
+    """Every response of the stream with hash, is_unique, unique_index, when its batch began and
+    ended, and where a unique one was saved."""
     return spark.read.parquet(f"{folder}/runs")
 
 
@@ -70,13 +73,15 @@ def unique_loop(responses: DataFrame, folder: str, mode: str = "strip", seq: str
     ``seq``; all later ones are left alone."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
+        spark, began = rows.sparkSession, datetime.now(UTC).isoformat()
         seen = manifest(spark, folder, number)
         if runs > 0:
             rows = rows.orderBy(seq).limit(max(0, runs - finished_runs(spark, folder, number)))
         if number and number % COMPACT == 0:
             compact(spark, folder, number)
-        done = deduplicate(rows, mode, seq, text, seen).withColumn("compare_mode", F.lit(mode)).persist()
+        done = deduplicate(rows, mode, seq, text, seen).withColumn("compare_mode", F.lit(mode))
+        saved = F.when(F.col("is_unique"), F.concat(F.lit(f"{folder}/unique/batch={number}/"), F.format_string("unique_%06d", F.col("unique_index"))))
+        done = done.withColumns({"started_at": F.lit(began), "finished_at": F.lit(datetime.now(UTC).isoformat()), "saved_path": saved}).persist()
         done.write.mode("overwrite").parquet(f"{folder}/runs/batch={number}")
         done.where("is_unique").select("hash", "unique_index", "compare_mode").write.mode("overwrite").parquet(f"{folder}/manifest/batch={number}")
         named = F.format_string("unique_%06d", F.col("unique_index")).alias("name")

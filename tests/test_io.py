@@ -25,6 +25,8 @@ def test_csv_keeps_awkward_tokens(spark, tmp_path):
     got = readers.token_table(spark, str(tmp_path / "t.csv"), "index int, raw_token string, ids string, flag boolean").orderBy("index").collect()
     assert [r.raw_token for r in got] == catalog.AWKWARD
     assert got[1].ids == "[1,2]" and [r.flag for r in got[:2]] == [True, False]
+    parts = [p.read_bytes() for p in (tmp_path / "t.csv").glob("part-*")]
+    assert all(p.startswith(b"index,raw_token,ids,flag\r\n") and p.endswith(b"\r\n") for p in parts)
 
 
 def test_image_roundtrip(spark, tmp_path):
@@ -42,6 +44,8 @@ def test_stream_resumes(spark, tmp_path):
         unique.unique_loop(spark.readStream.schema("seq long, text string").parquet(source), out).awaitTermination()
         got = unique.runs_log(spark, out).where(F.col("seq") >= rows[0][0]).orderBy("seq").collect()
         assert [(r.seq, r.unique_index) for r in got] == want
+    log = unique.runs_log(spark, out).collect()
+    assert all((r.saved_path is not None) == r.is_unique and r.started_at <= r.finished_at for r in log)
     named = spark.read.json(f"{out}/unique").orderBy("name").collect()
     assert [(r.name, r.text) for r in named] == [("unique_000001", "a"), ("unique_000002", "b"), ("unique_000003", "c"), ("unique_000004", "d")]
 
