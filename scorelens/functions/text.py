@@ -11,6 +11,8 @@ SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680
 WORD = r"\p{L}\p{N}_"
 #: A tokeniser that covers every character: short word pieces, single spaces, other pairs.
 PIECE = rf"[ \n]?[{WORD}]{{1,4}}|[{SPACE}]|[^{WORD}{SPACE}]{{1,2}}"
+#: What its pieces make up: of word and of other characters all that stand together, single spaces.
+UNIT = rf"[ \n]?[{WORD}]+|[{SPACE}]|[^{WORD}{SPACE}]+"
 COMPARE_MODES = ("exact", "strip", "collapse-space")
 
 
@@ -43,6 +45,16 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
+def units(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+
+
+def pieces_in(unit: Column, kind: Column) -> Column:
+    """How many pieces the tokeniser makes of a unit."""
+    led = F.left(unit, F.lit(1)).isin(" ", "\n").cast("int")
+    return F.when(kind == "word", F.ceil((F.length(unit) - led) / 4)).when(kind == "punct", F.ceil(F.length(unit) / 2)).otherwise(1).cast("int")
+
+
 def _shown(text: Column, pairs: list[tuple[str, str]]) -> Column:
     for a, b in pairs:
         text = F.replace(text, F.lit(a), F.lit(b))

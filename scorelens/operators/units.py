@@ -30,22 +30,24 @@ def shown_text(kind: Column, raw: Column) -> Column:
 def units_of_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, unit, unit_type, token_start, token_end, token_count, raw_text, text for whole texts.
 
-    A text's tokens are in one row, so units are found in arrays and nothing is shuffled: types
-    of all pieces, positions that open a unit, and the slices between them.  Units are made whole
-    before they become rows, so that no row carries the arrays.
+    A text's tokens are in one row, so nothing is shuffled.  The pieces of the tokeniser that open
+    a unit by ``starts_unit`` are those where a run of word or of other characters begins (a space
+    or line end before a word goes with it), or a single space; so units are matched as a whole.
+    Where each starts among the pieces follows from the units' numbers, repeated for each piece.
+    Units are made whole before they become rows, so that no row carries the arrays.
     """
-    rows = docs.select(id_col, T.pieces(F.coalesce(F.col(text_col), F.lit(""))).alias("pieces"))
-    rows = rows.where(F.size("pieces") > 0).withColumn("kinds", F.transform("pieces", T.piece_type))
-    n = F.size("pieces")
-    opens = F.filter(F.sequence(F.lit(0), n - 1), lambda i: starts_unit(F.get("kinds", i), F.get("pieces", i), F.get("kinds", i - 1)))
-    rows = rows.withColumn("opens", opens)
-
-    def unit(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("opens", k + 1), n)
-        raw = F.array_join(F.slice("pieces", start + 1, end - start), "")
-        return F.struct(k.alias("unit"), F.get("kinds", start).alias("unit_type"), start.alias("token_start"), end.alias("token_end"), (end - start).alias("token_count"), raw.alias("raw_text"))
-
-    found = rows.select(id_col, F.inline(F.transform("opens", unit)))
+    rows = docs.select(id_col, T.units(F.coalesce(F.col(text_col), F.lit(""))).alias("raw")).where(F.size("raw") > 0)
+    rows = rows.withColumn("kinds", F.transform("raw", T.piece_type))
+    rows = rows.withColumn("counts", F.transform("raw", lambda u, k: T.pieces_in(u, F.get("kinds", k))))
+    rows = rows.withColumn("of", F.flatten(F.transform("counts", lambda c, k: F.array_repeat(k, c))))
+    first = F.filter(F.sequence(F.lit(0), F.size("of") - 1), lambda i: (i == 0) | (F.get("of", i) != F.get("of", i - 1)))
+    rows = rows.withColumn("starts", first)
+
+    def unit(raw: Column, k: Column) -> Column:
+        start, n = F.get("starts", k), F.get("counts", k)
+        return F.struct(k.alias("unit"), F.get("kinds", k).alias("unit_type"), start.alias("token_start"), (start + n).alias("token_end"), n.alias("token_count"), raw.alias("raw_text"))
+
+    found = rows.select(id_col, F.inline(F.transform("raw", unit)))
     return found.withColumn("text", shown_text(F.col("unit_type"), F.col("raw_text")))
 
 

@@ -301,3 +301,20 @@ def test_prompt_inputs(spark):
     rows = spark.createDataFrame([(1, "Hello, o"), (2, ""), (3, None)], "id int, text string")
     got = {r.id: (r.input_ids, r.attention_mask) for r in generate.prompt_inputs(rows, vocab, "id", "text", 9).collect()}
     assert got == {1: ([0, 1, 2, 9], [1, 1, 1, 1]), 2: ([], []), 3: ([], [])}
+
+
+def test_units_of_text_are_those_of_its_pieces(spark):
+    """Matched as a whole, and found from the tokeniser's pieces one by one."""
+    import random
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("aBé_9 \n\t\r.,-!　😀́") for _ in range(r.randint(0, 60))) for _ in range(400)] + ["a" * 9, " abcd", "\n\nabcde", ".....", "a  b", "\tx"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "response_id int, text string")
+    got = units.units_of_text(docs, "response_id", "text")
+    from scorelens.functions import text as T
+
+    pieces = docs.select("response_id", F.posexplode(T.pieces(F.col("text"))).alias("token_index", "raw_token"))
+    scored = pieces.selectExpr("*", "raw_token AS token", "token_index AS token_id", *(f"0.0D AS {x}_{c}" for x in ("logp", "p") for c in ("original", "masked")))
+    same = ["response_id", "unit", "unit_type", "token_start", "token_end", "token_count", "raw_text", "text"]
+    want = units.units_of_tokens(scored).select(*same)
+    assert sorted(map(tuple, got.select(*same).collect())) == sorted(map(tuple, want.collect()))
